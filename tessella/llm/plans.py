@@ -4,8 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
-from . import lookalike
+from ..session import durable, table
+from . import canonical, ledger, lookalike, mixing, near, tokens
+
+
+def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    return durable(canonical.canonical_questions(table(spark, sf, "questions")), "keyed")
+
+
+def _counted(keyed: DataFrame) -> ledger.Ledger:
+    return ledger.count_copies(ledger.in_batches(keyed), keyed.sparkSession)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of questions that are the same but for their formatting."""
+    keyed = _keyed(spark, sf)
+    return ledger.copy_pairs(keyed, _counted(keyed))
+
+
+def p2_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Each question once, by its earliest copy, with the number of its copies."""
+    return _counted(_keyed(spark, sf)).read().select(ledger.F.col("first_ord").alias("ord"), ledger.F.col("n").alias("n_copies"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of questions whose words overlap by 0.7 or more and that are no copies."""
+    return near.near_pairs(durable(canonical.canonical_questions(table(spark, sf, "questions"), words=True), "canonical"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,5 +42,33 @@ def p4_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.uniform_questions(table(spark, sf, "questions")).select("ord", "field_name", "pos", "uniform_text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_uniform)}
-SQL: dict[str, str] = {}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encode(table(spark, sf, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of every document, decoded from its ids; null texts come back empty."""
+    return tokens.decode(tokens.encode(table(spark, sf, "documents")))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that cannot reach their target share."""
+    return mixing.unreachable(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """How many times each document is used in the mixture."""
+    return mixing.mix(mixing.sizes(table(spark, sf, "documents")), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached."""
+    sized, targets = mixing.sizes(table(spark, sf, "documents")), table(spark, sf, "mix_targets")
+    return mixing.shares(mixing.mix(sized, targets), sized, targets)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_uniform, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares)}
+SQL = {
+    "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

@@ -1,0 +1,19 @@
+"""Joins that a hot key cannot pile up in one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def lookup(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join ``big`` with ``small`` on ``on`` under a salt taken from the column ``spread`` of ``big``.
+
+    ``small`` is repeated once per salt, so a key that very many rows of
+    ``big`` carry is dealt out to ``salts`` tasks.
+    """
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread), F.lit(5)), F.lit(salts)).cast("int"))
+    return dealt.join(salted, [*on, "_salt"], how).drop("_salt")
