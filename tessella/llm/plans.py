@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable, table
-from . import canonical, ledger, lookalike, mixing, near, tokens
+from . import canonical, knn, ledger, lookalike, mixing, near, tokens
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,6 +42,16 @@ def p4_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.uniform_questions(table(spark, sf, "questions")).select("ord", "field_name", "pos", "uniform_text")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair of questions of which one's vector is among the five nearest of the other's."""
+    return knn.neighbour_pairs(table(spark, sf, "question_vecs"))
+
+
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest of every question's vector, with their cosine."""
+    return knn.neighbours(table(spark, sf, "question_vecs")).select(knn.F.col("id").alias("ord"), knn.F.col("near").alias("near_ord"), "cos")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The token ids of every document."""
     return tokens.encode(table(spark, sf, "documents"))
@@ -68,7 +78,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mix(sized, targets), sized, targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_uniform, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_uniform, p5_found, p5_neighbours, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares)}
 SQL = {
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
