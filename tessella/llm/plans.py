@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable, table
-from . import canonical, knn, ledger, lookalike, mixing, near, tokens
+from . import canonical, clusters, knn, ledger, lookalike, mixing, near, tokens
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,6 +52,20 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return knn.neighbours(table(spark, sf, "question_vecs")).select(knn.F.col("id").alias("ord"), knn.F.col("near").alias("near_ord"), "cos")
 
 
+def _clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.question_clusters(table(spark, sf, "questions"), table(spark, sf, "kc_table"), table(spark, sf, "kc_values"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The cluster of every question, by the name most of its labelled members carry."""
+    return _clusters(spark, sf)
+
+
+def p7_typical(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and five most typical questions of every cluster."""
+    return clusters.typical(table(spark, sf, "questions"), _clusters(spark, sf))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The token ids of every document."""
     return tokens.encode(table(spark, sf, "documents"))
@@ -78,7 +92,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mix(sized, targets), sized, targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_uniform, p5_found, p5_neighbours, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_uniform, p5_found, p5_neighbours, p7_found, p7_typical, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares)}
 SQL = {
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
