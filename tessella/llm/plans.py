@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable, table
-from . import canonical, clusters, knn, ledger, lookalike, mixing, near, tokens
+from . import canonical, clusters, knn, ledger, lookalike, mixing, near, subjects, tokens
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +92,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mix(sized, targets), sized, targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_uniform, p5_found, p5_neighbours, p7_found, p7_typical, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The subjects every document is about."""
+    return subjects.subjects(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "subject_list"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_uniform, p5_found, p5_neighbours, p7_found, p7_typical, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares, p10_found)}
 SQL = {
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
