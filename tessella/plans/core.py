@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import problems, reference, reference_sql
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+SQL = {**reference_sql.SQL, **problems.SQL}
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
-    return QUERIES["p6_found"](spark, sf)
+    """From questions to labels, end to end."""
+    return QUERIES["kc_discover"](spark, sf)
