@@ -13,9 +13,9 @@ statement speaks for the subject with the most.  A document is about a subject
 if a fair share of its telling statements, and more than a passing one, speak
 for it, so a document may have several subjects or none.
 
-Mining is done twice: with the given labels, then with the documents the first
-rules are sure of in place of labels, which reaches words and languages the
-labels hardly touch and drops wrong labels.  Both fits use a bounded number of
+Mining is done with the given labels, then again with the documents the rules
+are sure of in place of labels, which reaches words and languages the labels
+hardly touch and drops wrong labels.  Every fit uses a bounded number of
 documents, ``FIT`` at most, taken by hash; all documents are scored.
 
 Defined results: null, empty and blank texts have no subject; labels outside
@@ -37,15 +37,16 @@ from pyspark.sql import functions as F
 from ..session import durable
 from .lookalike import unify
 
-#: Documents the rules are fitted on, at most, in each of the two fits.
+#: Documents the rules are fitted on, at most, in each fit.
 FIT = 20_000
 SUPPORT = 4  # statements a rule is seen in, at least
 CONFIDENCE = 0.6
 WORD_SHARE, WORD_LIFT = 0.35, 2.5  # a word is mined if its statements lean to a subject so much
 SHRINK = 2.0
-SHARE = 0.25  # of the telling statements
-OF_ALL = 0.15  # of all statements
-SURE, SURE_STATEMENTS = 0.85, 4
+SHARE = 0.27  # of the telling statements
+OF_ALL = 0.1  # of all statements
+SURE, SURE_STATEMENTS = 0.85, 3
+ROUNDS = 2  # fits after the first
 
 STATEMENT = regex.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -181,8 +182,10 @@ def subjects(documents: DataFrame, doc_labels: DataFrame, subject_list: DataFram
     labels = labels.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "subject").limit(FIT)
     texts = documents.select("doc_id", "text").where("text is not null")
     rules, _ = mine(durable(transactions(texts.join(labels, "doc_id")), "labelled"))
-    first = score(texts, rules)
-    sure = first.where((F.col("n") >= SURE * F.col("telling")) & (F.col("n") >= SURE_STATEMENTS)).select("doc_id", "subject")
-    sure = sure.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT)
-    better, _ = mine(durable(transactions(texts.join(sure, "doc_id")), "sure"))
-    return about(score(texts, better or rules))
+    for _ in range(ROUNDS):
+        scored = score(texts, rules)
+        sure = scored.where((F.col("n") >= SURE * F.col("telling")) & (F.col("n") >= SURE_STATEMENTS)).select("doc_id", "subject")
+        sure = sure.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT)
+        better, _ = mine(durable(transactions(texts.join(sure, "doc_id")), "sure"))
+        rules = better or rules
+    return about(score(texts, rules))
