@@ -98,6 +98,13 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_uniform, p5_found, p5_neighbours, p7_found, p7_typical, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares, p10_found)}
+_NEAREST = """
+WITH v AS (SELECT ord, CAST(embedding AS DOUBLE[]) AS e FROM question_vecs WHERE embedding IS NOT NULL),
+n AS (SELECT ord, e, sqrt(list_inner_product(e, e)) AS m FROM v WHERE list_inner_product(e, e) > 0),
+pairs AS (SELECT a.ord, b.ord AS near_ord, round(list_inner_product(a.e, b.e) / (a.m * b.m), 12) AS cos FROM n a JOIN n b ON a.ord <> b.ord),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY cos DESC, near_ord) AS rn FROM pairs) WHERE rn <= 5)
+"""
 SQL = {
+    "p5_found": _NEAREST + "SELECT DISTINCT least(ord, near_ord) AS ord_a, greatest(ord, near_ord) AS ord_b FROM best",
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE = 20
+DEGREE = 24
 BEAM = 32
 WIDTH = 4  # nodes a search expands in one step
-ALPHA = 1.2
+ALPHA = 1.5
 ENTRIES = 48
 BATCH = 512
-PASSES = 1
+PASSES = 2
 
 
 def _robust_prune(x: np.ndarray, points: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> np.ndarray:
