@@ -149,7 +149,7 @@ def unify(text: str) -> str:
         near = set().union(*(sure[j] for j in (i - 1, i + 1) if 0 <= j < len(sure) and len(sure[j]) == 1))
         return _resolved(m[0], home, near)
 
-    return TOKEN.sub(resolve, text)
+    return unicodedata.normalize("NFC", TOKEN.sub(resolve, text))  # a resolved letter may meet an accent
 
 
 @F.pandas_udf(StringType())

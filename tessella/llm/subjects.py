@@ -33,6 +33,7 @@ import regex
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import durable
 from .lookalike import unify
@@ -40,8 +41,9 @@ from .lookalike import unify
 #: Documents the rules are fitted on, at most, in each fit.
 FIT = 20_000
 SUPPORT = 4  # statements a rule is seen in, at least
-CONFIDENCE = 0.6
-WORD_SHARE, WORD_LIFT = 0.35, 2.5  # a word is mined if its statements lean to a subject so much
+# How far a share exceeds the subject's prior, of what it could: (share - prior) / (1 - prior).
+GAIN = 0.55  # of a rule
+WORD_GAIN = 0.28  # of a word, to be mined
 SHRINK = 2.0
 SHARE = 0.27  # of the telling statements
 OF_ALL = 0.1  # of all statements
@@ -97,8 +99,9 @@ def mine(given: DataFrame) -> tuple[list[tuple[tuple[str, ...], str, float]], di
     spark = given.sparkSession
     priors = F.broadcast(spark.createDataFrame(list(prior.items()), "subject string, prior double"))
     per = given.select("subject", F.explode("words").alias("w")).groupBy("w", "subject").agg(F.count(F.lit(1)).alias("n")).join(priors, "subject")
-    whole = per.groupBy("w").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max(F.col("n") / F.col("prior")).alias("lifted"))
-    leaning = whole.where((F.col("most") >= SUPPORT) & (F.col("most") >= WORD_SHARE * F.col("all")) & (F.col("lifted") >= WORD_LIFT * F.col("all"))).select("w")
+    per = per.withColumn("all", F.sum("n").over(Window.partitionBy("w")))
+    gain = (F.col("n") / F.col("all") - F.col("prior")) / F.greatest(1 - F.col("prior"), F.lit(1e-9))
+    leaning = per.where((F.col("n") >= SUPPORT) & (gain >= WORD_GAIN)).select("w").distinct()
     numbered = given.withColumn("row", F.monotonically_increasing_id())
     numbered = durable(numbered, "statements")
     kept = numbered.select("row", F.explode("words").alias("w")).join(leaning, "w").groupBy("row").agg(F.collect_list("w").alias("kept"))
@@ -120,7 +123,7 @@ def mine(given: DataFrame) -> tuple[list[tuple[tuple[str, ...], str, float]], di
     sure = {k: (n + SHRINK * prior[k[1]]) / (support[k[0]] + SHRINK) for k, n in ruled.items() if k[0] in support}
     rules = []
     for (words, subject), confidence in sure.items():
-        if confidence < CONFIDENCE:
+        if confidence - prior[subject] < GAIN * (1 - prior[subject]):
             continue
         if any(sure.get((words[:i] + words[i + 1 :], subject), 0.0) >= confidence for i in range(len(words)) if len(words) > 1):
             continue  # a rule with fewer words is as good
