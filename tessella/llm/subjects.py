@@ -40,7 +40,7 @@ from .lookalike import unify
 
 #: Documents the rules are fitted on, at most, in each fit.
 FIT = 20_000
-SUPPORT = 4  # statements a rule is seen in, at least
+SUPPORT = 3  # statements a rule is seen in, at least
 # How far a share exceeds the subject's prior, of what it could: (share - prior) / (1 - prior).
 GAIN = 0.55  # of a rule
 WORD_GAIN = 0.28  # of a word, to be mined
