@@ -15,7 +15,8 @@ Every vector is indexed and every vector asks.  Recall against brute force is
 measured in the tests.  Fitted on a sample: only the pivots (``SAMPLE``).
 
 Defined results: null vectors, those with a null, infinite or NaN number, those
-of another length than most, and all-zero ones take no part; of equally near
+of another length than most, and all-zero ones take no part; repeated rows of
+one ``ord`` count once; of equally near
 ones the smaller ``ord`` is nearer; with fewer than k others, all others come.
 """
 
@@ -54,9 +55,9 @@ def points(vectors: DataFrame, key: str = "ord", vector: str = "embedding") -> t
     unit = given.where(F.size("v") == size).withColumn("norm", norm).where("norm > 0").select("id", F.expr("transform(v, x -> x / norm)").alias("vec"))
     rounded = F.transform("vec", lambda x: F.round(x * 1e6).cast("int"))
     marked = durable(unit.withColumn("h", F.xxhash64(rounded)).withColumn("h2", F.hash(rounded)), "unit")
-    groups = marked.groupBy("h", "h2").agg(F.min("id").alias("point"))
-    members = durable(lookup(marked.select("id", "h", "h2"), groups, ["h", "h2"], "id").select("point", "id"), "members")
-    return marked.join(groups.select("point"), marked.id == F.col("point"), "left_semi").select(F.col("id").alias("point"), "vec"), members
+    groups = durable(marked.groupBy("h", "h2").agg(F.min("id").alias("point"), F.min_by("vec", "id").alias("vec")), "groups")
+    members = durable(lookup(marked.select("id", "h", "h2"), groups.select("h", "h2", "point"), ["h", "h2"], "id").select("point", "id").distinct(), "members")
+    return groups.select("point", "vec"), members
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -160,7 +161,6 @@ def ask(dealt: DataFrame, built: DataFrame, cuts: DataFrame, k: int) -> DataFram
 def neighbours(vectors: DataFrame, k: int = 5, key: str = "ord", vector: str = "embedding") -> DataFrame:
     """``id, near, cos``: the ``k`` nearest of every vector."""
     found, members = points(vectors, key, vector)
-    found = durable(found, "points")
     dealt = durable(deal(found, pivots(found, found.count())), "dealt")
     cuts = durable(
         dealt.groupBy("shard").agg(

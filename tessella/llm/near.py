@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, width
+from .groups import components
 from .ledger import blocked
 from .skew import lookup
 
@@ -226,3 +227,25 @@ def near_pairs(canonical: DataFrame, threshold: float = 0.7) -> DataFrame:
     first = lookup(members.withColumnRenamed("unit", "a"), copied, ["a"], "ord").select(F.col("ord").alias("x"), "b")
     second = lookup(first, members.select(F.col("unit").alias("b"), F.col("ord").alias("y")), ["b"], "x").select("x", "y")
     return single.unionByName(second).select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"))
+
+
+def near_groups(canonical: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``ord, group_ord, n_links, n_copies``: a row per question that has a copy or a near-duplicate.
+
+    ``group_ord`` is the least ``ord`` of all questions linked directly or
+    through others, ``n_links`` the near-duplicates of the question itself and
+    ``n_copies`` the questions of its own key.
+    """
+    canonical = canonical.withColumn("w", F.xxhash64("words"))
+    sets = durable(units(canonical), "units")
+    linked = durable(similar_units(sets, Fraction(str(threshold))), "linked")
+    keys = durable(sets.groupBy("key").agg(F.min("unit").alias("first"), F.sum("copies").alias("n_copies")), "keys")
+    # Units of one key (their words differ only in how blanks cut them) belong together too.
+    same = sets.join(keys, "key").where("unit <> first").select(F.col("unit").alias("a"), F.col("first").alias("b"))
+    group = components(linked.select("a", "b").unionByName(same)).select(F.col("item").alias("unit"), "group_id")
+    other = linked.where("not same_key")
+    ways = other.select(F.col("a").alias("unit"), F.col("n_b").alias("n")).unionByName(other.select(F.col("b").alias("unit"), F.col("n_a").alias("n")))
+    links = ways.groupBy("unit").agg(F.sum("n").alias("n_links"))
+    described = sets.join(keys, "key").join(group, "unit", "left").join(links, "unit", "left").where("group_id is not null or n_copies > 1")
+    described = described.select("key", F.xxhash64("words").alias("w"), F.coalesce("group_id", "unit").alias("group_ord"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies")
+    return lookup(canonical.select("ord", "key", "w"), described, ["key", "w"], "ord").select("ord", "group_ord", "n_links", "n_copies")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import durable, table
-from . import canonical, clusters, knn, ledger, lookalike, mixing, near, subjects, tokens
+from . import canonical, clusters, groups, knn, ledger, lookalike, mixing, near, subjects, tokens
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,6 +32,15 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_pairs(durable(canonical.canonical_questions(table(spark, sf, "questions"), words=True), "canonical"))
 
 
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every question that is linked to others as a copy or near-duplicate, with its group and the number of its links.
+
+    Links are between units of equal questions, so copies are not expanded
+    into pairs.
+    """
+    return near.near_groups(durable(canonical.canonical_questions(table(spark, sf, "questions"), words=True), "canonical"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Stems and choice texts that hold a stand-in."""
     return lookalike.standins(table(spark, sf, "questions"))
@@ -97,7 +106,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.subjects(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "subject_list"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p4_found, p4_uniform, p5_found, p5_neighbours, p7_found, p7_typical, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_groups, p4_found, p4_uniform, p5_found, p5_neighbours, p7_found, p7_typical, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares, p10_found)}
 _NEAREST = """
 WITH v AS (SELECT ord, CAST(embedding AS DOUBLE[]) AS e FROM question_vecs WHERE embedding IS NOT NULL),
 n AS (SELECT ord, e, sqrt(list_inner_product(e, e)) AS m FROM v WHERE list_inner_product(e, e) > 0),

@@ -100,3 +100,31 @@ def test_words():
 
     found = lambda t: regex.findall(C.WORD, t)
     assert found("at -5.5, 7. u5m -x 3-4 .5") == ["at", "-5.5", "7", "u", "5", "m", "x", "3", "4", ".5"]
+
+
+def test_components_of_chains_and_stars(spark):
+    from tessella.llm.groups import components
+
+    links = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(41, 40), (40, 41), (42, 42)]
+    got = rows(components(spark.createDataFrame(links, "a bigint, b bigint")))
+    assert got == sorted([(i, 100) for i in range(100, 161)] + [(i, 0) for i in range(40)] + [(40, 40), (41, 40)], key=repr)
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_groups_against_brute_force(spark):
+    can = C.canonical_questions(bank(spark, _random_questions(120) * 2), words=True)
+    sets = {r.ord: (r.key, set(r.words)) for r in can.collect()}
+    near = lambda a, b: sets[a][0] != sets[b][0] and sets[a][1] | sets[b][1] and len(sets[a][1] & sets[b][1]) >= 0.7 * len(sets[a][1] | sets[b][1]) - 1e-9
+    up = {o: o for o in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a][0] == sets[b][0] or near(a, b):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    want = [(o, top(o), sum(bool(near(o, p)) for p in sets if p != o), sum(sets[p][0] == sets[o][0] for p in sets)) for o in sets]
+    assert rows(N.near_groups(can)) == sorted((w for w in want if w[2] or w[3] > 1), key=repr)
