@@ -16,7 +16,8 @@ for it, so a document may have several subjects or none.
 Mining is done with the given labels, then again with the documents the rules
 are sure of in place of labels, which reaches words and languages the labels
 hardly touch and drops wrong labels.  Every fit uses a bounded number of
-documents, ``FIT`` at most, taken by hash; all documents are scored.
+documents, ``FIT`` at most, taken by hash (later fits from ``POOL``); all
+documents are scored.
 
 Defined results: null, empty and blank texts have no subject; labels outside
 the list of subjects are ignored; without labels no document has a subject.
@@ -35,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable
+from ..session import durable, width
 from .lookalike import unify
 
 #: Documents the rules are fitted on, at most, in each fit.
-FIT = 20_000
+FIT = 10_000
+#: Documents among which later fits look for sure ones, at most.
+POOL = 20_000
 SUPPORT = 3  # statements a rule is seen in, at least
 # How far a share exceeds the subject's prior, of what it could: (share - prior) / (1 - prior).
 GAIN = 0.55  # of a rule
@@ -110,21 +113,18 @@ def mine(given: DataFrame) -> tuple[list[tuple[tuple[str, ...], str, float]], di
     n = baskets.count()
     if not n:
         return [], prior
-    found = FPGrowth(itemsCol="items", minSupport=SUPPORT / n, minConfidence=0.0).fit(baskets).freqItemsets
-    support: dict[tuple[str, ...], int] = {}
-    ruled: dict[tuple[tuple[str, ...], str], int] = {}
-    for r in found.where(F.size("items") <= 4).toLocalIterator():
-        words = tuple(sorted(x for x in r["items"] if x[0] != "\x01"))
-        marks = [x[1:] for x in r["items"] if x[0] == "\x01"]
-        if words and not marks:
-            support[words] = r.freq
-        elif words and len(marks) == 1:
-            ruled[words, marks[0]] = r.freq
-    sure = {k: (n + SHRINK * prior[k[1]]) / (support[k[0]] + SHRINK) for k, n in ruled.items() if k[0] in support}
+    found = FPGrowth(itemsCol="items", minSupport=SUPPORT / n, minConfidence=0.0, numPartitions=width(spark)).fit(baskets).freqItemsets
+    marks = F.filter("items", lambda x: x.startswith("\x01"))
+    words = F.array_sort(F.filter("items", lambda x: ~x.startswith("\x01")))
+    found = found.where(F.size("items") <= 4).select(words.alias("words"), F.size(marks).alias("k"), F.substring(F.try_element_at(marks, F.lit(1)), 2, 1000).alias("subject"), "freq")
+    found = durable(found.where("k <= 1 and size(words) > 0"), "itemsets")
+    alone = found.where("k = 0").select("words", F.col("freq").alias("all"))
+    sure_of = (F.col("freq") + SHRINK * F.col("prior")) / (F.col("all") + SHRINK)
+    kept = found.where("k = 1").join(alone, "words").join(priors, "subject").withColumn("confidence", sure_of)
+    kept = kept.where(F.col("confidence") - F.col("prior") >= GAIN * (1 - F.col("prior"))).select("words", "subject", "confidence")
+    sure = {(tuple(r.words), r.subject): r.confidence for r in kept.collect()}  # rules of a bounded number of statements
     rules = []
     for (words, subject), confidence in sure.items():
-        if confidence - prior[subject] < GAIN * (1 - prior[subject]):
-            continue
         if any(sure.get((words[:i] + words[i + 1 :], subject), 0.0) >= confidence for i in range(len(words)) if len(words) > 1):
             continue  # a rule with fewer words is as good
         rules.append((words, subject, log(confidence / prior[subject])))
@@ -185,10 +185,12 @@ def subjects(documents: DataFrame, doc_labels: DataFrame, subject_list: DataFram
     labels = labels.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "subject").limit(FIT)
     texts = documents.select("doc_id", "text").where("text is not null")
     rules, _ = mine(durable(transactions(texts.join(labels, "doc_id")), "labelled"))
+    pool = texts.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(POOL).distinct()
+    pool = durable(texts.join(pool, "doc_id", "left_semi"), "pool")
     for _ in range(ROUNDS):
-        scored = score(texts, rules)
+        scored = score(pool, rules)
         sure = scored.where((F.col("n") >= SURE * F.col("telling")) & (F.col("n") >= SURE_STATEMENTS)).select("doc_id", "subject")
         sure = sure.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT)
-        better, _ = mine(durable(transactions(texts.join(sure, "doc_id")), "sure"))
+        better, _ = mine(durable(transactions(pool.join(sure, "doc_id")), "sure"))
         rules = better or rules
     return about(score(texts, rules))
