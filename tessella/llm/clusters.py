@@ -74,7 +74,7 @@ def bucket_weights(rows: DataFrame) -> np.ndarray:
     n = rows.where("label >= 0").count()
     weight = np.zeros(BUCKETS, np.float32)
     if n == 0:
-        for r in counts.toLocalIterator():  # at most BUCKETS rows
+        for r in counts.collect():  # at most BUCKETS rows
             weight[r.b] = np.log(total / r.df) if r.df > 1 else 0.0
         return weight
     prior = labelled.select("label", (F.col("n") / n).alias("prior"))
@@ -90,7 +90,7 @@ def bucket_weights(rows: DataFrame) -> np.ndarray:
     )
     share = F.lit(SMOOTH) / (F.col("tot") + SMOOTH)  # what a label not seen with the word keeps of its prior
     rest = F.coalesce(1 - F.col("mass"), F.lit(1.0)) * share * F.log(share)
-    for r in counts.join(per, "b", "left").select("b", (F.coalesce("seen", F.lit(0.0)) + rest).alias("w")).toLocalIterator():  # at most BUCKETS rows
+    for r in counts.join(per, "b", "left").select("b", (F.coalesce("seen", F.lit(0.0)) + rest).alias("w")).collect():  # at most BUCKETS rows
         weight[r.b] = max(r.w, FLOOR)
     return weight
 

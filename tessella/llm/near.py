@@ -70,7 +70,7 @@ def frequent_words(sets: DataFrame, total: int) -> dict[int, int]:
     """Hash and number of sets of every frequent word; at most ``FREQUENT`` times the mean set size of them."""
     least = max(2, total // FREQUENT)
     rows = sets.select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= least)
-    return {r.h: r["count"] for r in rows.toLocalIterator()}
+    return {r.h: r["count"] for r in rows.collect()}
 
 
 def sketch(sets: DataFrame, threshold: Fraction, frequent: dict[int, int]) -> DataFrame:
