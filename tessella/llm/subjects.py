@@ -184,13 +184,15 @@ def subjects(documents: DataFrame, doc_labels: DataFrame, subject_list: DataFram
     labels = doc_labels.join(F.broadcast(subject_list.select("subject").distinct()), "subject").select("doc_id", "subject").distinct()
     labels = labels.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "subject").limit(FIT)
     texts = documents.select("doc_id", "text").where("text is not null")
-    rules, _ = mine(durable(transactions(texts.join(labels, "doc_id")), "labelled"))
+    # What is fitted on is small in bytes and heavy in Python: it is spread over all tasks.
+    spread = width(documents.sparkSession)
+    rules, _ = mine(durable(transactions(texts.join(labels, "doc_id").repartition(spread)), "labelled"))
     pool = texts.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(POOL).distinct()
     pool = durable(texts.join(pool, "doc_id", "left_semi"), "pool")
     for _ in range(ROUNDS):
-        scored = score(pool, rules)
+        scored = score(pool.repartition(spread), rules)
         sure = scored.where((F.col("n") >= SURE * F.col("telling")) & (F.col("n") >= SURE_STATEMENTS)).select("doc_id", "subject")
         sure = sure.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT)
-        better, _ = mine(durable(transactions(pool.join(sure, "doc_id")), "sure"))
+        better, _ = mine(durable(transactions(pool.join(sure, "doc_id").repartition(spread)), "sure"))
         rules = better or rules
     return about(score(texts, rules))
