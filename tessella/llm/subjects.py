@@ -15,9 +15,8 @@ for it, so a document may have several subjects or none.
 
 Mining is done with the given labels, then again with the documents the rules
 are sure of in place of labels, which reaches words and languages the labels
-hardly touch and drops wrong labels.  Every fit uses a bounded number of
-documents, ``FIT`` at most, taken by hash (later fits from ``POOL``); all
-documents are scored.
+hardly touch and drops wrong labels.  Texts are parsed once; every round
+scores all documents, and every fit counts all statements it is given.
 
 Defined results: null, empty and blank texts have no subject; labels outside
 the list of subjects are ignored; without labels no document has a subject.
@@ -39,10 +38,6 @@ from pyspark.sql.window import Window
 from ..session import durable, width
 from .lookalike import unify
 
-#: Documents the rules are fitted on, at most, in each fit.
-FIT = 10_000
-#: Documents among which later fits look for sure ones, at most.
-POOL = 20_000
 SUPPORT = 3  # statements a rule is seen in, at least
 # How far a share exceeds the subject's prior, of what it could: (share - prior) / (1 - prior).
 GAIN = 0.55  # of a rule
@@ -74,25 +69,27 @@ def statements(text: str | None) -> list[set[str]]:
     return out
 
 
-def transactions(labelled: DataFrame) -> DataFrame:
-    """``subject, words`` of every statement of ``doc_id, text, subject``."""
+def parsed(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, parts`` of ``key, text``: the words of every statement."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            subject, words = [], []
-            for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for items in statements(t):
-                    subject.append(s)
-                    words.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([pa.array(subject, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["subject", "words"])
+            parts = [[sorted(items) for items in statements(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.list_(pa.string())))], names=[key, "parts"])
+
+    return documents.select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, f"{key} bigint, parts array<array<string>>")
 
-    return labelled.select("subject", "text").mapInArrow(run, "subject string, words array<string>")
+
+def transactions(labelled: DataFrame) -> DataFrame:
+    """``subject, words`` of every statement of ``subject, parts``."""
+    return labelled.select("subject", F.explode("parts").alias("words"))
 
 
 def mine(given: DataFrame) -> tuple[list[tuple[tuple[str, ...], str, float]], dict[str, float]]:
     """Rules ``(words, subject, evidence)`` and the priors from transactions ``subject, words``.
 
-    How many rules there are is bounded by the documents fitted on.
+    Words and itemsets are counted where they lie before they are shuffled; the
+    rules grow with the words that lean to a subject, not with the documents.
     """
     counts = {r.subject: r.n for r in given.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per subject
     total = sum(counts.values())
@@ -122,7 +119,7 @@ def mine(given: DataFrame) -> tuple[list[tuple[tuple[str, ...], str, float]], di
     sure_of = (F.col("freq") + SHRINK * F.col("prior")) / (F.col("all") + SHRINK)
     kept = found.where("k = 1").join(alone, "words").join(priors, "subject").withColumn("confidence", sure_of)
     kept = kept.where(F.col("confidence") - F.col("prior") >= GAIN * (1 - F.col("prior"))).select("words", "subject", "confidence")
-    sure = {(tuple(r.words), r.subject): r.confidence for r in kept.collect()}  # rules of a bounded number of statements
+    sure = {(tuple(r.words), r.subject): r.confidence for r in kept.collect()}  # as many as leaning words allow
     rules = []
     for (words, subject), confidence in sure.items():
         if any(sure.get((words[:i] + words[i + 1 :], subject), 0.0) >= confidence for i in range(len(words)) if len(words) > 1):
@@ -147,22 +144,21 @@ class Scorer:
                     score[subject] += evidence
         return max(sorted(score), key=score.get) if score else None
 
-    def document(self, text: str | None) -> tuple[int, Counter]:
+    def document(self, parts: list[list[str]]) -> tuple[int, Counter]:
         """The number of statements and, per subject, of those that speak for it."""
-        parts = statements(text)
-        return len(parts), Counter(filter(None, map(self.statement, parts)))
+        return len(parts), Counter(filter(None, (self.statement(set(items)) for items in parts)))
 
 
 def score(documents: DataFrame, rules: list, key: str = "doc_id") -> DataFrame:
-    """``key, subject, n, telling, statements``: for every document and subject its statements speak for."""
+    """``key, subject, n, telling, statements`` of ``key, parts``: for every document and subject its statements speak for."""
     given = documents.sparkSession.sparkContext.broadcast(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(given.value)
         for batch in batches:
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                size, votes = scorer.document(text)
+            for i, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size, votes = scorer.document(parts)
                 telling = sum(votes.values())
                 rows += [(i, s, n, telling, size) for s, n in votes.items()]
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -170,7 +166,7 @@ def score(documents: DataFrame, rules: list, key: str = "doc_id") -> DataFrame:
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=[key, "subject", "n", "telling", "statements"]
             )
 
-    return documents.select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, f"{key} bigint, subject string, n bigint, telling bigint, statements bigint")
+    return documents.select(key, "parts").mapInArrow(run, f"{key} bigint, subject string, n bigint, telling bigint, statements bigint")
 
 
 def about(scored: DataFrame) -> DataFrame:
@@ -182,17 +178,13 @@ def about(scored: DataFrame) -> DataFrame:
 def subjects(documents: DataFrame, doc_labels: DataFrame, subject_list: DataFrame) -> DataFrame:
     """``doc_id, subject``: every subject each document is about."""
     labels = doc_labels.join(F.broadcast(subject_list.select("subject").distinct()), "subject").select("doc_id", "subject").distinct()
-    labels = labels.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "subject").limit(FIT)
-    texts = documents.select("doc_id", "text").where("text is not null")
-    # What is fitted on is small in bytes and heavy in Python: it is spread over all tasks.
+    # Texts are small in bytes and heavy in Python: they are spread over all tasks.
     spread = width(documents.sparkSession)
-    rules, _ = mine(durable(transactions(texts.join(labels, "doc_id").repartition(spread)), "labelled"))
-    pool = texts.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(POOL).distinct()
-    pool = durable(texts.join(pool, "doc_id", "left_semi"), "pool")
+    texts = durable(parsed(documents.where("text is not null").select("doc_id", "text").repartition(spread)), "parsed")
+    rules, _ = mine(durable(transactions(texts.join(labels, "doc_id")), "labelled"))
     for _ in range(ROUNDS):
-        scored = score(pool.repartition(spread), rules)
+        scored = score(texts, rules)
         sure = scored.where((F.col("n") >= SURE * F.col("telling")) & (F.col("n") >= SURE_STATEMENTS)).select("doc_id", "subject")
-        sure = sure.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT)
-        better, _ = mine(durable(transactions(pool.join(sure, "doc_id").repartition(spread)), "sure"))
+        better, _ = mine(durable(transactions(texts.join(sure, "doc_id")), "sure"))
         rules = better or rules
     return about(score(texts, rules))

@@ -140,6 +140,20 @@ def test_subjects(spark):
     assert S.subjects(df.limit(0), given, known).count() == 0
 
 
+def test_every_document_reaches_the_rules(spark, monkeypatch):
+    """Words of a few documents among many are learned, whichever documents these are."""
+    for name in ("FIT", "POOL"):
+        monkeypatch.setattr(S, name, 40, raising=False)  # bounds of an earlier version
+    plain = {"law": "Court and judge agree. The judge saw the court. A court it is.", "sport": "Team and goal agree. The goal beat the team. A team it is."}
+    texts = [plain["sport" if i % 2 else "law"] for i in range(240)]
+    for i in (50, 92, 134, 176, 218):
+        texts[i] += " Tort follows estoppel."
+    df = docs(spark, [*texts, "Is tort more than estoppel? Tort and estoppel."])
+    labels = spark.createDataFrame([(i, "sport" if i % 2 else "law") for i in range(20)], "doc_id bigint, subject string")
+    known = spark.createDataFrame([("law", ""), ("sport", "")], "subject string, about string")
+    assert (240, "law") in rows(S.subjects(df, labels, known))
+
+
 def test_rules_are_pruned(spark):
     data = [("a", ["w", "x"])] * 20 + [("b", ["x", "y"])] * 20 + [("b", ["z"])] * 5 + [("a", ["z"])] * 5
     rules, prior = S.mine(spark.createDataFrame(data, "subject string, words array<string>"))
