@@ -13,10 +13,11 @@ statement speaks for the subject with the most.  A document is about a subject
 if a fair share of its telling statements, and more than a passing one, speak
 for it, so a document may have several subjects or none.
 
-Mining is done with the given labels, then again with the documents the rules
-are sure of in place of labels, which reaches words and languages the labels
-hardly touch and drops wrong labels.  Texts are parsed once; every round
-scores all documents, and every fit counts all statements it is given.
+Mining is done with the given labels, then again with these and the documents
+the rules are sure of, which reaches words and languages the labels hardly
+touch and outweighs wrong labels.  A subject for which a later fit has no rule
+keeps its earlier ones.  Texts are parsed once; every round scores all
+documents, and every fit counts all statements it is given.
 
 Defined results: null, empty and blank texts have no subject; labels outside
 the list of subjects are ignored; without labels no document has a subject.
@@ -169,6 +170,12 @@ def score(documents: DataFrame, rules: list, key: str = "doc_id") -> DataFrame:
     return documents.select(key, "parts").mapInArrow(run, f"{key} bigint, subject string, n bigint, telling bigint, statements bigint")
 
 
+def succeed(rules: list, better: list) -> list:
+    """The rules of a later fit, and the earlier ones of subjects it has none for."""
+    told = {subject for _, subject, _ in better}
+    return better + [r for r in rules if r[1] not in told]
+
+
 def about(scored: DataFrame) -> DataFrame:
     """The subjects a document is about."""
     enough = (F.col("n") >= SHARE * F.col("telling")) & (F.col("n") >= OF_ALL * F.col("statements")) & ((F.col("n") >= 2) | (F.col("n") * 2 >= F.col("statements")))
@@ -185,6 +192,6 @@ def subjects(documents: DataFrame, doc_labels: DataFrame, subject_list: DataFram
     for _ in range(ROUNDS):
         scored = score(texts, rules)
         sure = scored.where((F.col("n") >= SURE * F.col("telling")) & (F.col("n") >= SURE_STATEMENTS)).select("doc_id", "subject")
-        better, _ = mine(durable(transactions(texts.join(sure, "doc_id")), "sure"))
-        rules = better or rules
+        better, _ = mine(durable(transactions(texts.join(labels.unionByName(sure).distinct(), "doc_id")), "sure"))
+        rules = succeed(rules, better)
     return about(score(texts, rules))

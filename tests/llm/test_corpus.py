@@ -154,6 +154,17 @@ def test_every_document_reaches_the_rules(spark, monkeypatch):
     assert (240, "law") in rows(S.subjects(df, labels, known))
 
 
+def test_labels_stay_in_later_fits(spark):
+    """A subject of short documents, none of them sure, keeps its rules."""
+    plain = {"law": "Court and judge agree. The judge saw the court. A court it is.", "sport": "Team and goal agree. The goal beat the team. A team it is.", "health": "Pulse and fever."}
+    own = [("law", "sport", "health")[i % 3] for i in range(60)]
+    labels = spark.createDataFrame([(i, own[i]) for i in range(30)], "doc_id bigint, subject string")
+    known = spark.createDataFrame([(s, "") for s in plain], "subject string, about string")
+    assert rows(S.subjects(docs(spark, [plain[s] for s in own]), labels, known)) == sorted(enumerate(own), key=repr)
+    old, new = [(("a",), "law", 1.0), (("b",), "health", 1.0)], [(("c",), "law", 2.0)]
+    assert S.succeed(old, new) == [new[0], old[1]] and S.succeed(old, []) == old
+
+
 def test_rules_are_pruned(spark):
     data = [("a", ["w", "x"])] * 20 + [("b", ["x", "y"])] * 20 + [("b", ["z"])] * 5 + [("a", ["z"])] * 5
     rules, prior = S.mine(spark.createDataFrame(data, "subject string, words array<string>"))
