@@ -114,7 +114,7 @@ def mine(given: DataFrame) -> tuple[list[tuple[tuple[str, ...], str, float]], di
     found = FPGrowth(itemsCol="items", minSupport=SUPPORT / n, minConfidence=0.0, numPartitions=width(spark)).fit(baskets).freqItemsets
     marks = F.filter("items", lambda x: x.startswith("\x01"))
     words = F.array_sort(F.filter("items", lambda x: ~x.startswith("\x01")))
-    found = found.where(F.size("items") <= 4).select(words.alias("words"), F.size(marks).alias("k"), F.substring(F.try_element_at(marks, F.lit(1)), 2, 1000).alias("subject"), "freq")
+    found = found.select(words.alias("words"), F.size(marks).alias("k"), F.substring(F.try_element_at(marks, F.lit(1)), 2, 1000).alias("subject"), "freq")
     found = durable(found.where("k <= 1 and size(words) > 0"), "itemsets")
     alone = found.where("k = 0").select("words", F.col("freq").alias("all"))
     sure_of = (F.col("freq") + SHRINK * F.col("prior")) / (F.col("all") + SHRINK)

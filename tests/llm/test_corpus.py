@@ -171,6 +171,14 @@ def test_rules_are_pruned(spark):
     assert prior["a"] == 0.5 and {(w, s) for w, s, _ in rules} == {(("w",), "a"), (("y",), "b")}
 
 
+def test_rules_of_many_words(spark):
+    """Only four words together tell."""
+    every = ["w", "x", "y", "z"]
+    data = [("a", every)] * 40 + [("b", [w for w in every if w != out]) for out in every] * 4 + [("b", ["q"])] * 24
+    rules, _ = S.mine(spark.createDataFrame(data, "subject string, words array<string>"))
+    assert (tuple(every), "a") in {(w, s) for w, s, _ in rules}
+
+
 def test_statements():
     assert S.statements("One is here. Two\nit 中文字。中") == [{"one", "is", "here"}, {"two"}, {"it", "中文", "文字"}]
     assert S.statements(None) == [] and F is not None
