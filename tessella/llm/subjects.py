@@ -111,7 +111,8 @@ def mine(given: DataFrame) -> tuple[list[tuple[tuple[str, ...], str, float]], di
     n = baskets.count()
     if not n:
         return [], prior
-    found = FPGrowth(itemsCol="items", minSupport=SUPPORT / n, minConfidence=0.0, numPartitions=width(spark)).fit(baskets).freqItemsets
+    # Spark rounds minSupport * n up; half a statement less, so that no floating point makes it one more.
+    found = FPGrowth(itemsCol="items", minSupport=(SUPPORT - 0.5) / n, minConfidence=0.0, numPartitions=width(spark)).fit(baskets).freqItemsets
     marks = F.filter("items", lambda x: x.startswith("\x01"))
     words = F.array_sort(F.filter("items", lambda x: ~x.startswith("\x01")))
     found = found.select(words.alias("words"), F.size(marks).alias("k"), F.substring(F.try_element_at(marks, F.lit(1)), 2, 1000).alias("subject"), "freq")

@@ -179,6 +179,14 @@ def test_rules_of_many_words(spark):
     assert (tuple(every), "a") in {(w, s) for w, s, _ in rules}
 
 
+def test_rules_seen_in_three_statements(spark):
+    """Whatever the number of statements."""
+    n = next(n for n in range(100, 9999, 2) if 3 / n * n > 3)
+    data = [("a", ["x", "rare"])] * 3 + [("a", ["x"])] * (n // 2 - 3) + [("b", ["y"])] * (n // 2)
+    rules, _ = S.mine(spark.createDataFrame(data, "subject string, words array<string>"))
+    assert (("rare",), "a") in {(w, s) for w, s, _ in rules}
+
+
 def test_statements():
     assert S.statements("One is here. Two\nit 中文字。中") == [{"one", "is", "here"}, {"two"}, {"it", "中文", "文字"}]
     assert S.statements(None) == [] and F is not None
