@@ -6,8 +6,9 @@ and is a plain hash within a class; k is such that two sets of the wanted
 similarity share a retained value whatever they are (with ``n`` words and
 threshold ``t`` the ``n - ceil(t n) + 1`` smallest), so the inverted lists of
 retained values lose no pair.  Values with very long lists are paired up: sets
-then share a list per two such values, for which one more value is retained,
-and nothing is lost either.  Lists are cut into blocks that meet in cells of
+then share a list per two such values, for which one more value is retained;
+sets so small that one common word may be enough are listed under each hot
+value as well, so nothing is lost either.  Lists are cut into blocks that meet in cells of
 bounded size.
 
 In a cell pairs are filtered by a union sketch: a fixed-size bitmap of the
@@ -108,10 +109,11 @@ def sketch(sets: DataFrame, threshold: Fraction, frequent: dict[int, int]) -> Da
                 if len(h):
                     s[full] = np.bitwise_or.reduceat(np.where(lane == k, bit, np.uint64(0)), start[full])
                 lanes.append(s.view(np.int64))
-            keep = sizes - -(-sizes * num // den) + 2  # one more than needed, for the pairs of hot values
+            least = -(-sizes * num // den)  # words that a similar set has in common
+            keep = sizes - least + 2  # one more than needed, for the pairs of hot values
             retained = pos < keep[row]
             hot = df > HOT
-            one = np.flatnonzero(retained & ~hot)
+            one = np.flatnonzero(retained & (~hot | (least <= 1)[row]))
             key1, key2, owner = [h[one]], [np.zeros(len(one), np.int64)], [row[one]]
             warm = np.flatnonzero(retained & hot)
             if len(warm):

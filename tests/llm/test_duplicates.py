@@ -128,3 +128,11 @@ def test_groups_against_brute_force(spark):
             up[y] = x
     want = [(o, top(o), sum(bool(near(o, p)) for p in sets if p != o), sum(sets[p][0] == sets[o][0] for p in sets)) for o in sets]
     assert rows(N.near_groups(can)) == sorted((w for w in want if w[2] or w[3] > 1), key=repr)
+
+
+def test_one_hot_word_is_enough_for_small_sets(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 3)
+    sets = [("a", ["the"]), ("b", ["the"]), ("c", ["cat", "the"])] + [(f"x{i}", sorted(["the", f"p{i}", f"q{i}"])) for i in range(8)]
+    df = spark.createDataFrame([(i, k, w) for i, (k, w) in enumerate(sets)], "ord bigint, key string, words array<string>")
+    assert rows(N.near_pairs(df, 0.7)) == [(0, 1)]
+    assert rows(N.near_pairs(df, 0.5)) == [(0, 1), (0, 2), (1, 2)]
