@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import questions as q
+from ..joins import lookup
+from ..session import durable
 from ..sources import html, readers, writers
 from . import kcmodel
 
@@ -20,6 +22,31 @@ def frequent_skills(questions: DataFrame, least: int = 100) -> DataFrame:
     return questions.join(kept, F.col("skill").eqNullSafe(F.col("_skill")), "left_semi")
 
 
+def fold_identical(rows: DataFrame, text: str) -> DataFrame:
+    """``ord, n_copies, steps`` per text of ``ord, step_name``: the first, the number and all steps in order.
+
+    Steps are joined by text as rows (``fold_members``) and put in one list
+    only at the end, as the folded form has them; a text with more copies than
+    a list holds is read from ``fold_members``.
+    """
+    each = fold_members(rows, text)
+    steps = each.where("step is not null").groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy_ord", "pos", "step"))), lambda x: x["step"]).alias("steps"))
+    heads = each.where("copy_ord = ord and pos <= 0").select("ord", "n_copies")
+    return heads.join(steps, "ord", "left").select("ord", "n_copies", F.coalesce("steps", F.array().cast("array<string>")).alias("steps"))
+
+
+def fold_members(rows: DataFrame, text: str) -> DataFrame:
+    """``ord, n_copies, copy_ord, pos, step``: every step of every question beside the first question with its text.
+
+    A question without steps has one row with null ``step`` and position -1.
+    """
+    keyed = durable(rows.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).select("_key", F.col("ord").alias("copy_ord"), "step_name"), "keyed")
+    first = durable(keyed.groupBy("_key").agg(F.min("copy_ord").alias("ord"), F.count(F.lit(1)).alias("n_copies")), "firsts")
+    met = lookup(keyed, first, ["_key"], "copy_ord", rows="n_copies")
+    steps = met.select("ord", "n_copies", "copy_ord", F.posexplode_outer("step_name").alias("pos", "step"))
+    return steps.withColumn("pos", F.coalesce("pos", F.lit(-1)))
+
+
 def science_questions(raw: DataFrame, min_choices: int = 2, min_skill: int = 100) -> DataFrame:
     """Text-only questions with enough choices and a frequent skill.
 

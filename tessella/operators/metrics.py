@@ -19,8 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+from ..sources.readers import with_ord
+
 NO_LABEL = "nan"
 STEP = 1 << 20  # terms of an expectation summed at once
+NOTHING = 1e-15  # a difference of entropies that is none
 MEASURES = ("rand", "adjusted_rand", "nmi", "ami", "fowlkes_mallows", "homogeneity", "completeness", "v_measure")
 
 
@@ -64,7 +68,8 @@ def expected_information(cells: DataFrame) -> DataFrame:
     """``model, emi``."""
     sizes = lambda by, name: cells.groupBy("model", by).agg(F.sum("n").alias(name)).groupBy("model", name).agg(F.count(F.lit(1)).alias(f"times_{name}"))
     total = cells.groupBy("model").agg(F.sum("n").alias("n"))
-    both = sizes("true", "a").join(sizes("pred", "b"), "model").join(total, "model")  # distinct sizes, fewer than 2 n pairs
+    # Distinct sizes of one side: their sum is n at most, so there are fewer than sqrt(2 n) of them a model.
+    both = sizes("true", "a").join(F.broadcast(sizes("pred", "b").join(total, "model")), "model").repartition("model", "a", "b")
     terms = both.select("model", "a", "b", "n", (F.col("times_a") * F.col("times_b")).alias("times")).mapInPandas(_expected, "model string, e double")
     return terms.groupBy("model").agg(F.sum("e").alias("emi"))
 
@@ -94,14 +99,14 @@ def measures(pairs: DataFrame) -> DataFrame:
     c = F.when(hk == 0, 1.0).otherwise(mi / hk)
     mean = (hc + hk) / 2
     alike = (hc == 0) & (hk == 0)  # one class on either side
-    ami_below = F.when(mean - emi < 0, F.least(mean - emi, F.lit(-2.220446049250313e-16))).otherwise(F.greatest(mean - emi, F.lit(2.220446049250313e-16)))
+    above_chance = F.when(F.abs(mean - emi) < NOTHING, NOTHING).otherwise(mean - emi)
     return whole.select(
         "model",
         "n_labels",
         F.when(t < 2, 1.0).otherwise((c00 + c11) / (t * t - t)).alias("rand"),
         F.when((c01 == 0) & (c10 == 0), 1.0).otherwise(2 * (c00 * c11 - c01 * c10) / ((c00 + c01) * (c01 + c11) + (c00 + c10) * (c10 + c11))).alias("adjusted_rand"),
         F.when(alike, 1.0).when(mean == 0, 0.0).otherwise(mi / mean).alias("nmi"),
-        F.when(alike, 1.0).otherwise((mi - emi) / ami_below).alias("ami"),
+        F.when(alike, 1.0).otherwise((mi - emi) / above_chance).alias("ami"),
         F.when(t < 2, 1.0).when(c11 == 0, 0.0).otherwise(c11 / F.sqrt((aa - t) * (bb - t))).alias("fowlkes_mallows"),
         h.alias("homogeneity"),
         c.alias("completeness"),
@@ -122,22 +127,17 @@ def distinct_labels(pairs: DataFrame) -> DataFrame:
 def random_baseline(pairs: DataFrame, runs: int = 30, seed: int = 42) -> DataFrame:
     """Mean measures over shuffles of the predicted labels, per model.
 
-    A shuffle keeps both margins.  Rows are dealt a new place by the order of a
-    seeded hash per run: sorting twice (by place and by hash) and matching the
-    ranks is a permutation of the labels, done in parallel for all runs.
+    A shuffle keeps both margins.  Rows of all runs are numbered twice, by
+    their place and by a seeded hash, each within run and model, and labels
+    meet places by number: a permutation.  The numbering is a sort by range
+    over all tasks; no task holds a run.
     """
     rng = random.Random(seed)
     seeds = [rng.getrandbits(31) for _ in range(runs)]
-    kept = pairs.where("pred is not null").withColumn("id", F.monotonically_increasing_id())
-    from ..session import durable
-
-    kept = durable(kept, "pairs")
+    kept = durable(pairs.where("pred is not null").withColumn("id", F.monotonically_increasing_id()), "pairs")
     each = kept.withColumn("s", F.explode(F.array(*map(F.lit, seeds))))
-    from pyspark.sql.window import Window
-
-    keyed = Window.partitionBy("model", "s")
-    placed = each.select("model", "s", "true", F.row_number().over(keyed.orderBy("id")).alias("r"))
-    dealt = each.select("model", "s", "pred", F.row_number().over(keyed.orderBy(F.xxhash64("id", "s"), "id")).alias("r"))
-    shuffled = placed.join(dealt, ["model", "s", "r"]).select(F.concat_ws("\x01", "s", "model").alias("model"), "true", "pred")
+    placed = with_ord(each.select("model", "s", "true", F.struct("model", "s", "id").alias("by")), "by", "r").drop("by")
+    dealt = with_ord(each.select("pred", F.struct("model", "s", F.xxhash64("id", "s"), "id").alias("by")), "by", "r").drop("by")
+    shuffled = placed.join(dealt, "r").select(F.concat_ws("\x01", "s", "model").alias("model"), "true", "pred")
     means = measures(shuffled).withColumn("model", F.substring_index("model", "\x01", -1)).groupBy("model")
     return means.agg(*(F.avg(m).alias(m) for m in MEASURES))

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def cells(rows: DataFrame, n: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (with ``ord`` from 0 below ``n``) as first and as second of a pair, keyed by ``ci, ck``."""
+def cells(rows: DataFrame, n: int, block: int = BLOCK, second: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` as first and ``second`` (by default the same) as second of a pair, keyed by ``ci, ck``.
+
+    Both have ``ord`` from 0 below ``n``; blocks without rows have no cells.
+    """
     blocks = max(1, -(-n // block))
     own = F.floor(F.col("ord") / block).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    return rows.withColumn("ci", own).withColumn("ck", every), rows.withColumn("ck", own).withColumn("ci", every)
+    return rows.withColumn("ci", own).withColumn("ck", every), (rows if second is None else second).withColumn("ck", own).withColumn("ci", every)
 
 
 def all_pairs(rows: DataFrame, n: int, first: dict[str, Column], second: dict[str, Column]) -> DataFrame:
@@ -34,8 +37,24 @@ def all_pairs(rows: DataFrame, n: int, first: dict[str, Column], second: dict[st
     return a.join(b, ["ci", "ck"]).drop("ci", "ck")
 
 
-def in_cells(rows: DataFrame, n: int, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+def in_cells(rows: DataFrame, n: int, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK, second: DataFrame | None = None) -> DataFrame:
     """A kernel over the two blocks of every cell."""
-    a, b = cells(rows, n, block)
+    a, b = cells(rows, n, block, second)
     b = b.select(*(F.col(c).alias(c) for c in b.columns))  # columns of its own: the two sides come from one frame
     return a.groupBy("ci", "ck").cogroup(b.groupBy("ci", "ck")).applyInPandas(kernel, schema)
+
+
+def in_groups(members: DataFrame, sizes: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
+    """A kernel over all ordered pairs within groups: ``members`` has ``grp, ord``, ``sizes`` has ``grp, n``.
+
+    A group is cut by hash into blocks of about ``block`` members that meet in
+    cells, so a cell is bounded however large a group is.
+    """
+    own = F.pmod(F.xxhash64("ord", F.lit(23)), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.join(sizes.select("grp", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "grp")
+    keys = ["grp", "ci", "ck"]
+    a = dealt.withColumn("ci", own).withColumn("ck", every).drop("blocks")
+    b = dealt.withColumn("ck", own).withColumn("ci", every).drop("blocks")
+    b = b.select(*(F.col(c).alias(c) for c in b.columns))
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(kernel, schema)

@@ -8,19 +8,26 @@ model with Jelinek-Mercer smoothing, for which
     logp(q2 | q1) = |q2| ln(1 - L) + sum tf ln p(w) + sum over shared w of tf ln(1 + L p(w|q1) / ((1 - L) p(w)))
 
 so each block of pairs is one matrix product over the words of its questions.
-It has the contract of a language model's score, not its values.
+It has the contract of a language model's score, not its values.  Next words
+(``next_logits``, ``next_tokens``), text vectors (``encode``) and concepts
+(``key_phrase``) come from the same counts; the ``external_...`` forms take a
+model from outside, by name (``module:function``) from the command line.
 """
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import questions as q
+from ..joins import broadcast_if_small, lookup
+from ..session import durable
 from . import pairs
 
 MIX = 0.5
@@ -65,24 +72,32 @@ def tokens(text: Column) -> Column:
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """``ord, w, tf, len, cf, total`` of ``ord, text``; a text without words gives no row."""
-    tf = texts.select("ord", F.explode(tokens(F.col("text"))).alias("w")).groupBy("ord", "w").agg(F.count(F.lit(1)).alias("tf"))
-    size = tf.groupBy("ord").agg(F.sum("tf").alias("len"))
-    cf = tf.groupBy("w").agg(F.sum("tf").alias("cf"))
-    total = tf.agg(F.sum("tf").alias("total"))
-    return tf.join(size, "ord").join(cf, "w").join(F.broadcast(total))  # total is one row
+    """``ord, w, tf, len, cf, df, total`` of ``ord, text``; a text without words gives no row.
+
+    A word that very many texts have is dealt out over tasks (``joins.lookup``);
+    what is counted is written once.
+    """
+    words = texts.select("ord", tokens(F.col("text")).alias("ws")).select("ord", F.size("ws").alias("len"), F.explode("ws").alias("w"))
+    tf = durable(words.groupBy("ord", "w").agg(F.count(F.lit(1)).alias("tf"), F.first("len").cast("bigint").alias("len")), "tf")
+    per_word = durable(tf.groupBy("w").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")), "words")
+    total = per_word.agg(F.sum("cf").alias("total"))
+    size = per_word.agg(F.sum(F.length("w") + 48)).first()[0] or 0
+    known = broadcast_if_small(per_word, size)
+    joined = tf.join(known, "w") if known is not per_word else lookup(tf, per_word, ["w"], "ord", rows="df")
+    return joined.join(F.broadcast(total))  # total is one row
 
 
-def marginals(texts: DataFrame) -> DataFrame:
+def marginals(texts: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """``ord, logp`` under the background model; 0 for a text without words."""
-    found = counts(texts).groupBy("ord").agg(F.sum(F.col("tf") * F.log(F.col("cf") / F.col("total"))).alias("logp"))
+    counted = counts(texts) if counted is None else counted
+    found = counted.groupBy("ord").agg(F.sum(F.col("tf") * F.log(F.col("cf") / F.col("total"))).alias("logp"))
     return texts.select("ord").join(found, "ord", "left").select("ord", F.coalesce("logp", F.lit(0.0)).alias("logp"))
 
 
 def query_likelihood(texts: DataFrame, n: int, mix: float = MIX) -> DataFrame:
     """``cond_ord, ord, logp`` of all n marginals and n x n ordered pairs of ``ord, text``."""
-    alone = marginals(texts)
     c = counts(texts)
+    alone = marginals(texts, c)
     gain = F.log(1 + mix * (F.col("tf") / F.col("len")) / ((1 - mix) * F.col("cf") / F.col("total")))
     rows = c.groupBy("ord").agg(F.collect_list(F.struct(F.xxhash64("w").alias("w"), F.col("tf").cast("double").alias("tf"), gain.alias("gain"))).alias("ws"), F.first("len").cast("double").alias("len"))
     rows = alone.join(rows, "ord", "left").select("ord", "logp", F.coalesce("len", F.lit(0.0)).alias("len"), "ws.w", "ws.tf", "ws.gain")
@@ -107,27 +122,123 @@ def query_likelihood(texts: DataFrame, n: int, mix: float = MIX) -> DataFrame:
     return alone.select(F.lit(None).cast("bigint").alias("cond_ord"), "ord", "logp").unionByName(both)
 
 
-def key_phrase(texts: DataFrame) -> DataFrame:
+def key_phrase(texts: DataFrame, verbal: bool = False) -> DataFrame:
     """``ord, concept``: of each text the word of the highest tf-idf; the first by name among equals.
 
-    Stands in for a generated concept: the top one of all candidates.
+    Stands in for a generated concept: the top one of all candidates.  With
+    ``verbal`` the word comes with the one before it where it first occurs
+    (what is done to it), if there is one.
     """
     docs = texts.agg(F.count(F.lit(1)).alias("docs"))
-    c = counts(texts)
-    df = c.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    scored = c.join(df, "w").join(F.broadcast(docs)).withColumn("score", F.round(F.col("tf") * F.log(F.col("docs") / F.col("df")), 9))
+    scored = counts(texts).join(F.broadcast(docs)).withColumn("score", F.round(F.col("tf") * F.log(F.col("docs") / F.col("df")), 9))
     best = scored.groupBy("ord").agg(F.min_by("w", F.struct(-F.col("score"), F.col("w"))).alias("concept"))
-    return texts.select("ord").join(best, "ord", "left").select("ord", F.coalesce("concept", F.lit("")).alias("concept"))
+    if not verbal:
+        return texts.select("ord").join(best, "ord", "left").select("ord", F.coalesce("concept", F.lit("")).alias("concept"))
+    words = texts.select("ord", tokens(F.col("text")).alias("ws")).join(best, "ord", "left").withColumn("at", F.array_position("ws", F.col("concept")))
+    both = F.when(F.col("at") > 1, F.concat(F.element_at("ws", F.col("at").cast("int") - 1), F.lit(" "), "concept")).otherwise(F.col("concept"))
+    return words.select("ord", F.coalesce(both, F.lit("")).alias("concept"))
 
 
 def hashed_embedding(texts: DataFrame, dim: int = 64) -> DataFrame:
     """``ord, embedding``: tf-idf folded into ``dim`` signed buckets."""
     docs = texts.agg(F.count(F.lit(1)).alias("docs"))
-    c = counts(texts)
-    df = c.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     h = F.xxhash64("w")
     weight = F.col("tf") * F.log((1 + F.col("docs")) / F.col("df")) * F.when(F.shiftrightunsigned(h, 63) == 1, -1.0).otherwise(1.0)
-    slots = c.join(df, "w").join(F.broadcast(docs)).groupBy("ord", F.pmod(h, F.lit(dim)).cast("int").alias("b")).agg(F.sum(weight).alias("v"))
+    slots = counts(texts).join(F.broadcast(docs)).groupBy("ord", F.pmod(h, F.lit(dim)).cast("int").alias("b")).agg(F.sum(weight).alias("v"))
+    return texts.select("ord").join(_packed(slots, dim), "ord", "left").select("ord", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("embedding"))
+
+
+def _packed(slots: DataFrame, dim: int) -> DataFrame:
+    """``ord, embedding`` of ``ord, b, v``: at most ``dim`` rows of an ``ord`` are gathered."""
     packed = slots.groupBy("ord").agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    return texts.select("ord").join(packed, "ord", "left").select("ord", vector.alias("embedding"))
+    return packed.select("ord", vector.alias("embedding"))
+
+
+# ------------------------------------------------- what a model does besides scores
+def encode(prompts: DataFrame, dim: int = 64) -> DataFrame:
+    """``ord, embedding`` of ``ord, context, text``: the mean of the text's token vectors; the context has no part in it.
+
+    A token's vector is a signed unit vector by a hash of its spelling (md5, so
+    that any engine can follow it): slot from its first eight hex digits, sign
+    from the ninth.  A text without words gives zeros.
+    """
+    each = prompts.select("ord", tokens(F.col("text")).alias("ws")).select("ord", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    digest = F.md5("w")
+    slot = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1, -1.0).otherwise(1.0)
+    slots = each.groupBy("ord", slot.alias("b")).agg(F.sum(sign / F.col("n")).alias("v"))
+    return prompts.select("ord").join(_packed(slots, dim), "ord", "left").select("ord", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("embedding"))
+
+
+def next_logits(prompts: DataFrame, background: DataFrame, choices: DataFrame, mix: float = MIX) -> DataFrame:
+    """``ord, w, logp``: the log-probability that a word follows each prompt of ``ord, context``, for the words of ``choices``.
+
+    ``choices`` has ``w`` (the same allowed words for every prompt, a table that
+    is broadcast) or ``ord, w`` (words of its own for each).  ``background`` has
+    ``w, cf``.  A word the background doesn't know has no probability and no row.
+    """
+    total = background.agg(F.sum("cf").alias("total"))
+    allowed = choices.select(*[c for c in ("ord", "w") if c in choices.columns]).distinct().join(background.select("w", "cf"), "w")
+    words = prompts.select("ord", tokens(F.col("context")).alias("ws")).select("ord", F.size("ws").alias("n"), F.explode_outer("ws").alias("c"))
+    own = words.where("c is not null").groupBy("ord", F.col("c").alias("w")).agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
+    asked = prompts.select("ord").join(allowed, "ord") if "ord" in choices.columns else prompts.select("ord").join(F.broadcast(allowed))  # the words allowed, as given by the caller
+    p = mix * F.coalesce("share", F.lit(0.0)) + (1 - mix) * F.col("cf") / F.col("total")
+    return asked.join(own, ["ord", "w"], "left").join(F.broadcast(total)).select("ord", "w", F.log(p).alias("logp"))
+
+
+def next_tokens(prompts: DataFrame, background: DataFrame, choices: DataFrame | None = None, top_k: int = 1, mix: float = MIX) -> DataFrame:
+    """``ord, rank, w, logp``: the ``top_k`` words most likely to follow each prompt; the first by name among equals.
+
+    Without ``choices`` every word may follow.  A word the prompt has not can
+    only be among the first if it is among the ``top_k`` most frequent of such
+    words, so each prompt looks at its own words and a prefix of one list: no
+    prompt meets the whole vocabulary.
+    """
+    if choices is None:
+        words = prompts.select("ord", F.array_distinct(tokens(F.col("context"))).alias("own"))
+        most = words.agg(F.max(F.size("own"))).first()[0] or 0
+        ranked = background.orderBy(F.desc("cf"), "w").limit(top_k + most).select("w", "cf").collect()  # as many as a prompt has words, and top_k
+        frequent = F.array(*(F.lit(r.w) for r in ranked)) if len(ranked) <= 2000 else None
+        if frequent is None:
+            head = prompts.sparkSession.createDataFrame([([r.w for r in ranked],)], "frequent array<string>")
+            words, frequent = words.join(F.broadcast(head)), F.col("frequent")
+        rest = F.slice(F.array_except(F.slice(frequent, 1, F.size("own") + top_k), "own"), 1, top_k) if ranked else F.array().cast("array<string>")
+        choices = words.select("ord", F.explode(F.concat("own", rest)).alias("w"))
+    scored = next_logits(prompts, background, choices, mix).withColumn("r", F.round("logp", 12))
+    kept = scored.withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("r"), "w"))).where(F.col("rank") <= top_k)
+    return kept.select("ord", F.col("rank").cast("bigint").alias("rank"), "w", "logp")
+
+
+# ------------------------------------------------------------ models from outside
+def loaded(name: str) -> Callable:
+    """The function ``module:function`` names, imported where it is called."""
+    module, _, function = name.partition(":")
+    if not module or not function:
+        raise ValueError(f"not module:function: {name}")
+    return getattr(importlib.import_module(module), function)
+
+
+def _in_batches(prompts: DataFrame, load: Callable[[], Callable], batch: int, column: str, kind: str) -> DataFrame:
+    if batch < 1:
+        raise ValueError("batch must be 1 or more")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for f in frames:
+            out: list = []
+            for i in range(0, len(f), batch):
+                out += list(model(f["context"].iloc[i : i + batch].tolist(), f["text"].iloc[i : i + batch].tolist()))
+            yield pd.DataFrame({"ord": f["ord"], column: out})
+
+    return prompts.select("ord", "context", "text").mapInPandas(run, f"ord bigint, {column} {kind}")
+
+
+def external_labels(prompts: DataFrame, load: Callable[[], Callable], batch: int = 16) -> DataFrame:
+    """``ord, concept`` of ``ord, context, text`` by a model that ``load`` gives: ``label(contexts, texts) -> texts``."""
+    return _in_batches(prompts, load, batch, "concept", "string")
+
+
+def external_vectors(prompts: DataFrame, load: Callable[[], Callable], batch: int = 16) -> DataFrame:
+    """``ord, embedding`` of ``ord, context, text`` by a model that ``load`` gives: ``encode(contexts, texts) -> vectors``."""
+    return _in_batches(prompts, load, batch, "embedding", "array<float>")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems, reference, reference_sql
+from . import problems, reference, reference_sql, sources
 
-QUERIES = {**reference.QUERIES, **problems.QUERIES}
-SQL = {**reference_sql.SQL, **problems.SQL}
+QUERIES = {**reference.QUERIES, **sources.QUERIES, **problems.QUERIES}
+SQL = {**reference_sql.SQL, **sources.SQL, **problems.SQL}
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

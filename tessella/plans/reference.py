@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import names
 from ..functions import questions as q
 from ..operators import affinity, congruity, crossval, ingest, kcmodel, metrics, refine, scoring, similarity, steps
 from ..session import durable, table
+from ..sources import readers
 
 KEYS = ["problem_hierarchy", "problem_name", "step_name"]
 
@@ -97,8 +97,13 @@ def skill_filter(spark, sf):
 def fold_identical(spark, sf):
     """One row per rendered text: the first question, the number of copies and all steps in order."""
     rows = _questions(spark, sf).select("ord", q.rendered().alias("text"), "step_name")
-    ordered = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("step_name", F.array().cast("array<string>")).alias("s"))))
-    return rows.groupBy("text").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n_copies"), F.array_join(F.flatten(F.transform(ordered, lambda x: x["s"])), "~").alias("steps")).drop("text")
+    return ingest.fold_identical(rows, "text").select("ord", "n_copies", F.array_join("steps", "~").alias("steps"))
+
+
+def fold_members(spark, sf):
+    """The same as rows, for texts with any number of copies: every step with its question and the first of its text."""
+    rows = _questions(spark, sf).select("ord", q.rendered().alias("text"), "step_name")
+    return ingest.fold_members(rows, "text")
 
 
 # ----------------------------------------------------------------- scoring
@@ -136,6 +141,42 @@ def key_phrases(spark, sf):
     return scoring.key_phrase(_texts(spark, sf))
 
 
+def key_phrases_verbal(spark, sf):
+    """The same with the word before it."""
+    return scoring.key_phrase(_texts(spark, sf), verbal=True)
+
+
+def _background(spark, sf) -> DataFrame:
+    return scoring.counts(_texts(spark, sf)).groupBy("w").agg(F.first("cf").alias("cf"))
+
+
+def _contexts(spark, sf) -> DataFrame:
+    return _questions(spark, sf).select("ord", F.concat_ws(" ", F.col("question.stem")).alias("context"))
+
+
+def next_words(spark, sf):
+    """The three words most likely to follow every stem."""
+    return scoring.next_tokens(_contexts(spark, sf), durable(_background(spark, sf), "background"), top_k=3).select("ord", "rank", "w", F.round("logp", 6).alias("logp"))
+
+
+def next_choices(spark, sf):
+    """The same among the words of the question's own choices."""
+    own = _questions(spark, sf).select("ord", F.explode(scoring.tokens(F.array_join("question.choices.text", " "))).alias("w")).distinct()
+    return scoring.next_tokens(_contexts(spark, sf), _background(spark, sf), own, top_k=1).select("ord", "rank", "w", F.round("logp", 6).alias("logp"))
+
+
+def next_word_logits(spark, sf):
+    """The log-probability of five words after every stem."""
+    words = spark.createDataFrame([(w,) for w in ("the", "of", "is", "which", "nosuchword")], "w string")
+    return scoring.next_logits(_contexts(spark, sf), _background(spark, sf), words).select("ord", "w", F.round("logp", 6).alias("logp"))
+
+
+def text_vectors(spark, sf):
+    """Mean-pooled vectors of the questions' texts, by slot."""
+    prompts = _texts(spark, sf).withColumn("context", F.lit("Exercise 2:"))
+    return scoring.encode(prompts).select("ord", F.posexplode("embedding").alias("slot", "v")).where("v <> 0").select("ord", "slot", F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
 # -------------------------------------------------------------- similarity
 def _cosine(spark, sf) -> DataFrame:
     v = _vectors(spark, sf)
@@ -161,12 +202,14 @@ def preferences(spark, sf):
 def subset_similarity(spark, sf):
     """The similarities among the short-answer questions, numbered anew."""
     members = _questions(spark, sf).where("q_type = 'Short Answer'").select("ord")
-    v = _vectors(spark, sf).join(members, "ord", "left_semi")
-    n = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("ord")) - 1
-    numbers = v.select("ord").withColumn("n", n.cast("bigint"))
-    part = congruity.subset(_cosine(spark, sf), members)
-    a, b = numbers.withColumnsRenamed({"ord": "i", "n": "a"}), numbers.withColumnsRenamed({"ord": "k", "n": "b"})
-    return part.join(a, "i").join(b, "k").select("a", "b", F.round("s", 5).alias("s"))
+    v = durable(readers.with_ord(_vectors(spark, sf).join(members, "ord", "left_semi"), "ord", "n").select(F.col("n").alias("ord"), "embedding"), "members")
+    return similarity.similarity(v, v.count()).select(F.col("i").alias("a"), F.col("k").alias("b"), F.round("s", 5).alias("s"))
+
+
+def pmi_subset(spark, sf):
+    """Mutual information among the short-answer questions, normalised over the whole bank before."""
+    members = _questions(spark, sf).where("q_type = 'Short Answer'").select("ord")
+    return congruity.subset(congruity.pmi(durable(_scores(spark, sf), "scores"), True, True), members).select("i", "k", F.round("s", 4).alias("s"))
 
 
 # -------------------------------------------------------------- clustering
@@ -180,7 +223,9 @@ def ap_step(spark, sf):
 def exemplar_assign(spark, sf):
     """Every question with a vector by its most similar labelled exemplar."""
     chosen = table(spark, sf, "kc_table").select(names.exemplar_ord(F.col("kc_raw")).alias("exemplar")).where("exemplar is not null").distinct()
-    return affinity.assign(_cosine(spark, sf).withColumn("s", F.round("s", 9)), chosen)
+    v = _vectors(spark, sf)
+    ours = v.join(F.broadcast(chosen), v.ord == chosen.exemplar, "left_semi")
+    return affinity.assign(similarity.similarity(v, _size(v), second=ours).withColumn("s", F.round("s", 9)), chosen)
 
 
 def exemplar_label(spark, sf):
@@ -304,6 +349,14 @@ def question_steps(spark, sf):
     return found.select("ord", F.array_join("step_name", "~").alias("steps"), F.array_join("ds_step_name", "~").alias("raw_steps"))
 
 
+def question_steps_part(spark, sf):
+    """The same in the later naming of steps: the word after ``part`` and what follows the last underscore."""
+    t = _template(spark, sf).withColumn("step_name", F.concat(F.lit("q1 part "), F.replace(F.element_at(F.split("step_name", " "), 1), F.lit("_"), F.lit("-")), F.lit(" UpdateComboBox")))
+    qs = _questions(spark, sf).withColumn("step_name", F.transform("step_name", lambda s: F.concat(F.lit("page_"), F.replace(s, F.lit("_"), F.lit("-")))))
+    found = kcmodel.match_steps(qs, kcmodel.clean_to_raw(t, part_style=True), part_style=True)
+    return found.select("ord", F.array_join("step_name", "~").alias("steps"), F.array_join("ds_step_name", "~").alias("raw_steps"))
+
+
 def kc_names(spark, sf):
     """Model names in column names."""
     columns = table(spark, sf, "kc_values").select(F.concat(F.lit("KC ("), "kc_name", F.lit("-"), F.col("n_steps").cast("string"), F.lit(")")).alias("column_name"))
@@ -353,24 +406,55 @@ def refine_questions(spark, sf):
 def refine_relabel(spark, sf):
     """Steps of flat labels by the concept of their last question."""
     _, t, members = _refined(spark, sf)
-    concepts = scoring.key_phrase(_texts(spark, sf))
-    labels = refine.refined_labels(members.withColumn("exemplar", F.col("ord")), concepts, _questions(spark, sf))
-    return refine.relabel(t, "KC (lo)", labels, "cpt")
+    return _widened(spark, sf, t, members.withColumn("exemplar", F.col("ord")), "cpt")
+
+
+def _changes(spark, sf, template, clusters, prefix):
+    labels = refine.refined_labels(clusters, scoring.key_phrase(_texts(spark, sf)), _questions(spark, sf))
+    return durable(refine.relabel(template, "KC (lo)", labels, prefix), "changed")
+
+
+def _widened(spark, sf, template, clusters, prefix):
+    """The refined models over all rows of the template, in long form."""
+    wide = refine.widen(template, "KC (lo)", _changes(spark, sf, template, clusters, prefix))
+    return kcmodel.long_labels(wide.drop(*names.kc_columns(template.columns)), ["row_id"])
 
 
 def refine_cosine(spark, sf):
     """Steps of flat labels by clusters of their questions' vectors."""
     _, t, members = _refined(spark, sf)
-    clusters = refine.recluster(members, _cosine(spark, sf))
-    labels = refine.refined_labels(clusters, scoring.key_phrase(_texts(spark, sf)), _questions(spark, sf))
-    return refine.relabel(t, "KC (lo)", durable(labels, "labels"), "qcos")
+    return _widened(spark, sf, t, durable(refine.recluster_vectors(members, _vectors(spark, sf)), "clusters"), "qcos")
+
+
+def _pmi_clusters(spark, sf, members):
+    return durable(refine.recluster(members, congruity.pmi(durable(_scores(spark, sf), "scores"), True, True)), "clusters")
+
+
+def refine_pmi(spark, sf):
+    """Steps of flat labels by clusters of their questions' mutual information, normalised over the whole bank."""
+    _, t, members = _refined(spark, sf)
+    return _widened(spark, sf, t, _pmi_clusters(spark, sf, members), "pmi")
+
+
+def refine_unchanged(spark, sf):
+    """Rows of flat labels that keep their label, for each way of refining; a refinement that changes all leaves none."""
+    _, t, members = _refined(spark, sf)
+    ways = {"cpt": members.withColumn("exemplar", F.col("ord")), "qcos": refine.recluster_vectors(members, _vectors(spark, sf)), "pmi": _pmi_clusters(spark, sf, members)}
+    found = [refine.unchanged(_changes(spark, sf, t, c, p), t, "KC (lo)", p).withColumn("way", F.lit(p)) for p, c in ways.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def refine_pairs(spark, sf):
+    """Similarities of questions within a flat label: what is clustered."""
+    _, _, members = _refined(spark, sf)
+    return similarity.within(members.select(F.col("kc_name").alias("grp"), "ord"), _vectors(spark, sf)).select("grp", "i", "k", F.round("s", 5).alias("s"))
 
 
 _ALL = (
-    question_render, question_flat, concept_prompt, concept_clean, concept_invalid, pair_prompts, skill_histogram, skill_filter, fold_identical,
-    lm_marginals, lm_logprob, lm_holes, pmi_raw, pmi_normalized, pmi_conditionals, key_phrases, sim_cosine, sim_euclidean, preferences, subset_similarity,
+    question_render, question_flat, concept_prompt, concept_clean, concept_invalid, pair_prompts, skill_histogram, skill_filter, fold_identical, fold_members,
+    lm_marginals, lm_logprob, lm_holes, pmi_raw, pmi_normalized, pmi_conditionals, pmi_subset, key_phrases, key_phrases_verbal, next_words, next_choices, next_word_logits, text_vectors, sim_cosine, sim_euclidean, preferences, subset_similarity,
     ap_step, exemplar_assign, exemplar_label, ap_cluster, kc_discover, contingency, metrics_all, template_metrics, random_baseline, label_counts, cv_table, cv_publication, cv_runs,
-    step_to_kc, kc_template_fill, kc_template_models, kc_adjust, kc_long, template_duplicates, clean_steps, question_steps, kc_names,
-    student_step_merge, student_step_minimal, refine_candidates, refine_mismatch, refine_questions, refine_relabel, refine_cosine,
+    step_to_kc, kc_template_fill, kc_template_models, kc_adjust, kc_long, template_duplicates, clean_steps, question_steps, question_steps_part, kc_names,
+    student_step_merge, student_step_minimal, refine_candidates, refine_mismatch, refine_questions, refine_relabel, refine_cosine, refine_pmi, refine_unchanged, refine_pairs,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -17,30 +17,30 @@ parts AS (
 )
 """
 LM = f"""
-WITH {RENDER}, words AS (
+WITH {RENDER}, words AS MATERIALIZED (
   SELECT ord, unnest(regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+')) AS w FROM rendered
-), tf AS (
+), tf AS MATERIALIZED (
   SELECT ord, w, count(*) AS tf FROM words GROUP BY 1, 2
-), lens AS (
+), lens AS MATERIALIZED (
   SELECT ord, sum(tf) AS len FROM tf GROUP BY 1
-), cf AS (
+), cf AS MATERIALIZED (
   SELECT w, sum(tf) AS cf FROM tf GROUP BY 1
-), tot AS (
+), tot AS MATERIALIZED (
   SELECT sum(cf) AS total FROM cf
-), marg AS (
+), marg AS MATERIALIZED (
   SELECT r.ord, coalesce(sum(tf.tf * ln(cf.cf / tot.total)), 0.0) AS logp, coalesce(any_value(lens.len), 0) AS len
   FROM rendered r LEFT JOIN tf ON tf.ord = r.ord LEFT JOIN cf ON cf.w = tf.w LEFT JOIN lens ON lens.ord = r.ord CROSS JOIN tot GROUP BY r.ord
-), shared AS (
+), shared AS MATERIALIZED (
   SELECT a.ord AS c, b.ord AS o, sum(b.tf * ln(1 + 0.5 * (a.tf / la.len) / (0.5 * cf.cf / tot.total))) AS gain
   FROM tf a JOIN tf b ON a.w = b.w JOIN lens la ON la.ord = a.ord JOIN cf ON cf.w = a.w CROSS JOIN tot GROUP BY 1, 2
-), scores AS (
+), scores AS MATERIALIZED (
   SELECT CAST(NULL AS BIGINT) AS cond_ord, ord, logp FROM marg
   UNION ALL
   SELECT a.ord, b.ord, b.logp + b.len * ln(0.5) + coalesce(s.gain, 0.0) FROM marg a CROSS JOIN marg b LEFT JOIN shared s ON s.c = a.ord AND s.o = b.ord
-), soft AS (
+), soft AS MATERIALIZED (
   SELECT cond_ord, ord, logp - m - ln(sum(exp(logp - m)) OVER (PARTITION BY cond_ord)) AS logp
   FROM (SELECT *, max(logp) OVER (PARTITION BY cond_ord) AS m FROM scores)
-), pmi AS (
+), pmi AS MATERIALIZED (
   SELECT g.ord AS i, g.cond_ord AS k, g.logp - a.logp AS s FROM soft g JOIN soft a ON a.cond_ord IS NULL AND a.ord = g.ord WHERE g.cond_ord IS NOT NULL
 )
 """
@@ -141,6 +141,17 @@ phrases AS (
   ) best ON best.ord = r.ord
 )
 """
+NEXT = """, asked AS (
+  SELECT ord, unnest(regexp_extract_all(lower(question.stem), '[\\p{L}\\p{N}]+')) AS w FROM questions
+), own AS (
+  SELECT ord, w, count(*) AS n FROM asked GROUP BY 1, 2
+), held AS (
+  SELECT ord, count(*) AS n FROM asked GROUP BY 1
+), follow AS (
+  SELECT q.ord, cf.w, ln(0.5 * coalesce(own.n / held.n, 0) + 0.5 * cf.cf / tot.total) AS logp
+  FROM questions q CROSS JOIN cf CROSS JOIN tot LEFT JOIN held ON held.ord = q.ord LEFT JOIN own ON own.ord = q.ord AND own.w = cf.w
+)
+"""
 MEMBERS = f"""
 {FLAT}, asked AS (
   SELECT DISTINCT t.lo AS kc_name, q.ord FROM t JOIN flagged f ON f.kc_name = t.lo JOIN (SELECT ord, unnest(ds_step_name) AS step_name FROM questions) q ON q.step_name = t.step_name
@@ -162,6 +173,9 @@ SQL = {
       SELECT k.ord, k.skill FROM k JOIN s ON k.skill IS NOT DISTINCT FROM s.skill""",
     "fold_identical": f"""WITH {RENDER}, f AS (SELECT r.txt, r.ord, coalesce(q.step_name, []) AS s FROM rendered r JOIN questions q ON q.ord = r.ord)
       SELECT min(ord) AS ord, count(*) AS n_copies, array_to_string(flatten(list(s ORDER BY ord)), '~') AS steps FROM f GROUP BY txt""",
+    "fold_members": f"""WITH {RENDER}, f AS (SELECT r.txt, r.ord, q.step_name AS s FROM rendered r JOIN questions q ON q.ord = r.ord), g AS (SELECT txt, min(ord) AS ord, count(*) AS n_copies FROM f GROUP BY 1)
+      SELECT g.ord, n_copies, f.ord AS copy_ord, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS step FROM f JOIN g USING (txt) WHERE len(s) > 0
+      UNION ALL SELECT g.ord, n_copies, f.ord, -1, NULL FROM f JOIN g USING (txt) WHERE coalesce(len(s), 0) = 0""",
     "lm_marginals": LM + "SELECT ord, round(logp, 4) AS logp FROM marg",
     "lm_logprob": LM + "SELECT cond_ord, ord, round(logp, 4) AS logp FROM scores",
     "lm_holes": "SELECT n * n + n AS expected, n * n + n AS present, n * n + n AS n_rows, CAST(0 AS BIGINT) AS not_finite FROM (SELECT count(*) AS n FROM questions)",
@@ -169,6 +183,17 @@ SQL = {
     "pmi_normalized": LM + "SELECT a.i, a.k, round((a.s + b.s) / 2, 4) AS s FROM pmi a JOIN pmi b ON a.i = b.k AND a.k = b.i",
     "pmi_conditionals": LM + "SELECT p.i, p.k, round(p.s + a.logp, 4) AS logp FROM pmi p JOIN soft a ON a.cond_ord IS NULL AND a.ord = p.i",
     "key_phrases": LM + f", {PHRASE} SELECT ord, concept FROM phrases",
+    "key_phrases_verbal": LM
+    + f""", {PHRASE}, toks AS (SELECT ord, regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+') AS ws FROM rendered), placed AS (SELECT p.ord, p.concept, t.ws, list_position(t.ws, p.concept) AS i FROM phrases p JOIN toks t USING (ord))
+      SELECT ord, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || concept ELSE concept END AS concept FROM placed""",
+    "pmi_subset": LM + """, m AS (SELECT ord FROM questions WHERE q_type = 'Short Answer')
+      SELECT a.i, a.k, round((a.s + b.s) / 2, 4) AS s FROM pmi a JOIN pmi b ON a.i = b.k AND a.k = b.i WHERE a.i IN (SELECT ord FROM m) AND a.k IN (SELECT ord FROM m)""",
+    "next_words": LM + NEXT + "SELECT ord, rank, w, round(logp, 6) AS logp FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(logp, 12) DESC, w) AS rank FROM follow) WHERE rank <= 3",
+    "next_choices": LM + NEXT + """, offered AS (SELECT DISTINCT ord, unnest(regexp_extract_all(lower(c.text), '[\\p{L}\\p{N}]+')) AS w FROM (SELECT ord, unnest(question.choices) AS c FROM questions))
+      SELECT ord, rank, w, round(logp, 6) AS logp FROM (SELECT f.*, row_number() OVER (PARTITION BY ord ORDER BY round(logp, 12) DESC, w) AS rank FROM follow f JOIN offered USING (ord, w)) WHERE rank <= 1""",
+    "next_word_logits": LM + NEXT + "SELECT ord, w, round(logp, 6) AS logp FROM follow WHERE w IN ('the', 'of', 'is', 'which', 'nosuchword')",
+    "text_vectors": LM + """, slots AS (SELECT t.ord, CAST('0x' || substr(md5(t.w), 1, 8) AS BIGINT) % 64 AS slot, sum(CASE WHEN CAST('0x' || substr(md5(t.w), 9, 1) AS BIGINT) % 2 = 1 THEN -t.tf ELSE t.tf END) AS v, any_value(l.len) AS len
+        FROM tf t JOIN lens l USING (ord) GROUP BY 1, 2) SELECT ord, slot, round(CAST(CAST(v / len AS FLOAT) AS DOUBLE), 5) AS v FROM slots WHERE v <> 0""",
     "sim_cosine": SIM + "SELECT i, k, round(s, 5) AS s FROM sim",
     "sim_euclidean": SIM + "SELECT a.ord AS i, b.ord AS k, round(-sqrt(greatest(list_inner_product(a.e, a.e) + list_inner_product(b.e, b.e) - 2 * list_inner_product(a.e, b.e), 0)), 5) AS s FROM n a CROSS JOIN n b",
     "preferences": SIM + "SELECT round(median(s), 6) AS p_median, round(avg(s), 6) AS p_mean, round(min(s), 6) AS p_min, round(max(s), 6) AS p_max FROM sim WHERE i <> k",
@@ -208,6 +233,11 @@ SQL = {
       cr AS (SELECT split_part(raw, ' ', 1) AS clean, string_agg(raw, '~' ORDER BY first) AS raws FROM r GROUP BY 1),
       qs AS (SELECT ord, unnest(step_name) AS s, generate_subscripts(step_name, 1) AS pos FROM questions)
       SELECT ord, string_agg(s, '~' ORDER BY pos) AS steps, string_agg(raws, '~' ORDER BY pos) AS raw_steps FROM qs JOIN cr ON cr.clean = qs.s GROUP BY 1""",
+    "question_steps_part": f"""WITH {TEMPLATE}, t2 AS (SELECT row_id, 'q1 part ' || replace(split_part(step_name, ' ', 1), '_', '-') || ' UpdateComboBox' AS step_name, lo, topic FROM t),
+      r AS (SELECT step_name AS raw, min(row_id) AS first FROM t2 WHERE lo IS NOT NULL AND topic IS NOT NULL AND step_name IS NOT NULL GROUP BY 1),
+      cr AS (SELECT regexp_extract(raw, 'part (\\S+)', 1) AS clean, string_agg(raw, '~' ORDER BY first) AS raws FROM r GROUP BY 1),
+      qs AS (SELECT ord, 'page_' || replace(unnest(step_name), '_', '-') AS s, generate_subscripts(step_name, 1) AS pos FROM questions)
+      SELECT ord, string_agg(s, '~' ORDER BY pos) AS steps, string_agg(raws, '~' ORDER BY pos) AS raw_steps FROM qs JOIN cr ON cr.clean = split_part(qs.s, '_', -1) GROUP BY 1""",
     "kc_names": "SELECT column_name, regexp_extract(column_name, 'KC \\((.+?)(-\\d+)?\\)', 1) AS model FROM (SELECT 'KC (' || kc_name || '-' || n_steps || ')' AS column_name FROM kc_values)",
     "student_step_merge": UNIQUE + "SELECT * FROM counted",
     "student_step_minimal": UNIQUE
@@ -228,6 +258,7 @@ SQL = {
       JOIN sn ON sn.v IS NOT DISTINCT FROM m.step_name LEFT JOIN kl ON kl.v = m.kc_lo LEFT JOIN kt ON kt.v = m.kc_topic""",
     "refine_candidates": f"WITH {FLAT} SELECT kc_name, n_steps FROM flagged",
     "refine_mismatch": f"WITH {TEMPLATE}, {FLAT} SELECT f.kc_name, f.n_steps, count(t.row_id) AS found FROM flagged f LEFT JOIN t ON t.lo = f.kc_name GROUP BY 1, 2 HAVING count(t.row_id) <> f.n_steps",
+    "refine_pairs": SIM + f""", {TEMPLATE}, {MEMBERS} SELECT a.kc_name AS grp, i, k, round(s, 5) AS s FROM sim JOIN members a ON a.ord = i JOIN members b ON b.ord = k AND b.kc_name = a.kc_name""",
     "refine_questions": f"WITH {TEMPLATE}, {MEMBERS} SELECT kc_name, ord FROM members",
     "refine_relabel": LM
     + f""", {PHRASE}, {TEMPLATE}, {MEMBERS}, steps_ AS (

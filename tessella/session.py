@@ -1,4 +1,4 @@
-"""Durable intermediate results and small helpers shared by all operators."""
+"""Durable intermediate results, files in the shared folder and small helpers of all operators."""
 
 from __future__ import annotations
 
@@ -12,12 +12,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     ``spark.checkpoint.dir`` names it on a cluster.  Only where that is unset
-    (tests, a single machine) a temporary folder is chosen, once a session.
+    and all runs in one process (tests, a single machine) a temporary folder is
+    chosen, once a session; elsewhere a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -36,7 +40,21 @@ def durable(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_at"] = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete the files of a table of ``durable`` that nothing will read again."""
+    if df is not None and "stored_at" in df.__dict__:
+        remove(df.sparkSession, df.__dict__["stored_at"])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def width(spark: SparkSession) -> int:

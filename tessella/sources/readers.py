@@ -1,52 +1,71 @@
 """Readers: files of questions, scores, embeddings, label tables, templates and logs as DataFrames.
 
 All but the side files (metadata of a run) are read by Spark.  Positions that
-carry meaning - a question's ``ord``, a log's ``row_id`` - are made here, once:
-``row_id`` only orders rows, ``ord`` is dense from 0.
+carry meaning - a question's ``ord``, a log's ``row_id`` - are made here, once,
+in the order of the files by name and of the lines in them: ``row_id`` of a log
+only orders rows, ``ord`` and the ``row_id`` of templates are dense from 0.
 """
 
 from __future__ import annotations
 
 import ast
-import glob
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.window import Window
+from pyspark.sql.types import StringType
 
 from .. import schemas
 from ..functions import names
 from ..session import durable
+from . import files
+
+#: Bits of a row id: places in a task, tasks of a read; the rest numbers files.
+ROW_BITS, TASK_BITS = 26, 20
 
 
 # ----------------------------------------------------------------- positions
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """File order as a column that grows with it but has gaps."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """File order as a column that grows with it but has gaps; ``df`` is a plain read of files.
+
+    Spark packs the splits of one file into tasks in their order, but not those
+    of several files; so the file's place by name comes first.  Nothing is
+    shuffled or read twice.
+    """
+    spark = df.sparkSession
+    at = F.monotonically_increasing_id()  # task, then place in it by 33 bits
+    place = F.shiftleft(F.shiftright(at, 33), ROW_BITS) + at.bitwiseAND((1 << 33) - 1)
+    paths = sorted(df.inputFiles())
+    if len(paths) < 2:
+        return df.withColumn(name, place)
+    if len(paths) >= 1 << (63 - ROW_BITS - TASK_BITS):
+        raise ValueError(f"{len(paths)} files are too many to be put in order")
+    ranks = F.broadcast(spark.createDataFrame(list(zip(paths, range(len(paths)))), "_file string, _rank bigint"))  # a row per file
+    placed = df.withColumn("_file", F.input_file_name()).withColumn("_place", place)
+    ranked = placed.join(ranks, "_file")
+    return ranked.withColumn(name, F.shiftleft("_rank", ROW_BITS + TASK_BITS) + F.col("_place")).drop("_file", "_rank", "_place")
 
 
 def with_ord(df: DataFrame, by: str, name: str = "ord") -> DataFrame:
     """``name`` dense from 0 in the order of the unique column ``by``.
 
-    Rows are sorted by range over all tasks; each task counts its rows and adds
-    the rows of the tasks before it, so there is no window over all rows.
+    Rows are sorted by range over all tasks and written with their place in
+    their task; to that are added the rows of the tasks before it, so there is
+    no window and no second shuffle.
     """
     spark = df.sparkSession
-    ranged = durable(df.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("_task", F.spark_partition_id()), "ranged")
+    ranged = df.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id())
+    ranged = durable(ranged.withColumn("_task", F.shiftright("_at", 33).cast("int")).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "ranged")
     sizes = {r["_task"]: r["count"] for r in ranged.groupBy("_task").count().collect()}  # a row per task
     before, total = [], 0
     for task in sorted(sizes):
         before.append((task, total))
         total += sizes[task]
     start = spark.createDataFrame(before, "_task int, _before bigint")
-    at = F.row_number().over(Window.partitionBy("_task").orderBy(by)) - 1
-    return ranged.withColumn("_at", at).join(F.broadcast(start), "_task").withColumn(name, F.col("_before") + F.col("_at")).drop("_task", "_at", "_before")
+    return ranged.join(F.broadcast(start), "_task").withColumn(name, F.col("_before") + F.col("_at")).drop("_task", "_at", "_before")
 
 
 # ----------------------------------------------------------------- questions
@@ -66,7 +85,7 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
     Lines that are neither come with a null ``question``; blank lines are none.
     """
-    lines = spark.read.text(path).withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    lines = with_row_id(spark.read.text(path), "_at").where(F.trim("value") != "")
     placed = with_ord(lines.select("value", "_at"), "_at")
     parse = F.pandas_udf(_literal_to_json, StringType())
     # Strict JSON stays in the JVM; only what it rejects goes to Python.
@@ -145,14 +164,17 @@ def kc_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
 
-def template(spark: SparkSession, path: str, drop_empty: bool = True, keep: Column | None = None, only: str | None = None) -> DataFrame:
-    """A template with ``row_id``: blank cells are null, columns without a value are dropped.
+def template(spark: SparkSession, path: str, drop_empty: bool = True, only: str | None = None) -> DataFrame:
+    """A template with a dense ``row_id``: blank cells are null, columns without a value are dropped.
 
-    ``only`` keeps this label column and all that are no label columns.
+    ``only`` keeps this label column and all that are no label columns.  As
+    ``row_id`` is the row's number in the file, however the file is split,
+    tables that run along each other meet on it.
     """
-    raw = spark.read.csv(path, sep="\t", header=True)
+    raw = spark.read.csv(path, sep="\t", header=True, escape='"')
     chosen = [c for c in raw.columns if only is None or c == only or c not in names.kc_columns(raw.columns)]
-    df = with_row_id(raw.select(*(names.or_null(F.col(f"`{c}`")).alias(c) for c in chosen)))
+    placed = with_row_id(raw, "_row").select("_row", *(names.or_null(F.col(f"`{c}`")).alias(c) for c in chosen))
+    df = with_ord(placed, "_row", "row_id").drop("_row")
     if not drop_empty:
         return df
     counts = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in chosen)).first()
@@ -161,8 +183,8 @@ def template(spark: SparkSession, path: str, drop_empty: bool = True, keep: Colu
 
 def student_steps(spark: SparkSession, path: str) -> DataFrame:
     """The six columns of a log that count, as texts, with ``row_id`` for file order."""
-    raw = spark.read.csv(path, sep="\t", header=True)
-    return with_row_id(raw.select(*(names.or_null(F.col(f"`{c}`")).alias(n) if n != "anon_student_id" else F.col(f"`{c}`").alias(n) for c, n in schemas.STEP_COLUMNS.items())))
+    raw = with_row_id(spark.read.csv(path, sep="\t", header=True, escape='"'))
+    return raw.select("row_id", *(names.or_null(F.col(f"`{c}`")).alias(n) if n != "anon_student_id" else F.col(f"`{c}`").alias(n) for c, n in schemas.STEP_COLUMNS.items()))
 
 
 def kc_values(spark: SparkSession, path: str) -> DataFrame:
@@ -173,34 +195,28 @@ def cv_results(spark: SparkSession, path: str) -> DataFrame:
     """``column, metric, value``, a row per ``<model>`` element and metric."""
     raw = spark.read.format("xml").option("rowTag", "model").option("inferSchema", False).load(path)
     metrics = [c for c in raw.columns if c != "name"]
-    numbered = raw.withColumn("entry", F.monotonically_increasing_id())
+    numbered = with_row_id(raw, "entry")
     long = numbered.unpivot(["entry", "name"], metrics, "metric", "text")
     return long.select("entry", F.btrim("name").alias("column"), "metric", F.expr("try_cast(trim(text) as double)").alias("value")).where("value is not null")
 
 
-def kc_directory(directory: str) -> list[tuple[str, str]]:
+def kc_directory(spark: SparkSession, directory: str) -> list[tuple[str, str]]:
     """``(model, path)`` of every ``*-kc.csv``, sorted; none is an error."""
-    found = sorted(glob.glob(os.path.join(directory, "*-kc.csv")))
+    found = files.matching(spark, f"{directory}/*-kc.csv")
     if not found:
         raise FileNotFoundError(f"no *-kc.csv in {directory}")
-    return [(os.path.basename(p)[: -len("-kc.csv")], p) for p in found]
+    return [(files.base_name(p)[: -len("-kc.csv")], p) for p in found]
 
 
 # ------------------------------------------------------------------- side files
-def sidecar(directory: str) -> dict:
+def sidecar(spark: SparkSession, directory: str) -> dict:
     """The one ``args*.json`` of a run."""
-    found = glob.glob(os.path.join(directory, "args*.json"))
+    found = files.matching(spark, f"{directory}/args*.json")
     if len(found) != 1:
         raise ValueError(f"{len(found)} side files in {directory}, one expected")
-    with open(found[0], encoding="utf8") as f:
-        out = json.load(f)
-    return {"cond_on_dim": 0} | out
+    return {"cond_on_dim": 0} | json.loads(files.read_text(spark, found[0]))
 
 
-def artifacts(directory: str, kinds: tuple[str, ...] = ("concept", "question")) -> list[str]:
+def artifacts(spark: SparkSession, directory: str, kinds: tuple[str, ...] = ("concept", "question")) -> list[str]:
     """Which kinds of embeddings a run left."""
-    return [k for k in kinds if glob.glob(os.path.join(directory, f"*{k}-embed*"))]
-
-
-def empty_like(spark: SparkSession, columns: list[str]) -> DataFrame:
-    return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))
+    return [k for k in kinds if files.matching(spark, f"{directory}/*{k}-embed*")]

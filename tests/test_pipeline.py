@@ -52,7 +52,7 @@ def test_programs(spark, sf, bank, tmp_path):
     cli.concept(spark, bank, f"{out}/concept", q_embeds=True)
     cli.pmi(spark, bank, f"{out}/pmi")
     cli.build(spark, f"{out}/concept", f"{out}/pmi", f"{out}/kcs")
-    made = [m for m, _ in readers.kc_directory(f"{out}/kcs")]
+    made = [m for m, _ in readers.kc_directory(spark, f"{out}/kcs")]
     assert {"concept", "pmi", "concept-cosine"} <= set(made)
     t = spark.read.parquet(f"{sf}/kc_template.parquet").dropDuplicates(["problem_hierarchy", "problem_name", "step_name"]).orderBy("row_id")
     keys = [F.col("problem_hierarchy").alias("Problem Hierarchy"), F.col("problem_name").alias("Problem Name"), F.col("step_name").alias("Step Name")]
@@ -76,14 +76,14 @@ def test_programs(spark, sf, bank, tmp_path):
     assert "KC (lo)" in readers.template(spark, f"{done}/refined-kc.txt").columns
 
 
-def test_folder_must_be_new(tmp_path):
-    assert os.path.basename(writers.run_dir(str(tmp_path), "Mon Jan  1 10:00:00 2024", exist_ok=False)) == "Mon_Jan__1_10-00-00_2024"
+def test_folder_must_be_new(spark, tmp_path):
+    assert os.path.basename(writers.run_dir(spark, str(tmp_path), "Mon Jan  1 10:00:00 2024", exist_ok=False)) == "Mon_Jan__1_10-00-00_2024"
     with pytest.raises(FileExistsError):
-        writers.run_dir(str(tmp_path), "Mon Jan  1 10:00:00 2024", exist_ok=False)
+        writers.run_dir(spark, str(tmp_path), "Mon Jan  1 10:00:00 2024", exist_ok=False)
     with pytest.raises(FileNotFoundError):
-        readers.kc_directory(str(tmp_path))
+        readers.kc_directory(spark, str(tmp_path))
     with pytest.raises(ValueError):
-        readers.sidecar(str(tmp_path))
+        readers.sidecar(spark, str(tmp_path))
 
 
 PAGE = """<div class="oli-question" id="q1"><div class="oli-body"><p>Which is <b>flexible</b>?</p><img src="a/b.png"></div>
