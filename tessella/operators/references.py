@@ -9,8 +9,9 @@ the rows that carry a suspect are looked at by their own time.
 What is shuffled: names once per period and field (aggregated before the
 shuffle, so a name that a third of all rows carry is a handful of rows), then
 bitmaps of 4 KB per key range.  The bitmaps lie in as many tasks as there are
-key ranges and periods.  Rows meet suspects under a salt, so a failing name
-that very many rows carry is spread over tasks.
+key ranges and periods.  Of the rows, those that carry a suspect are found by a
+join; a suspect that very many rows carry is dealt out by its count
+(``joins.lookup``).
 
 Defined results: null and blank names are no references; names are compared
 without case and outer blanks; a row without a readable time belongs to no
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import lookup
 from ..session import durable
 
 BLANKS = " \t\n\r\f\v\u00a0"
 RANGE = 32768  # keys in a bitmap, as Spark's bitmap functions have it
-SALTS = 16
+NO_PERIOD = -1
 
 
 def folded(name: Column) -> Column:
@@ -86,14 +88,15 @@ def decode(frame: DataFrame, by: list[str], kinds: str) -> DataFrame:
     return frame.select(*by, "bucket", "refs", "held", "always").mapInArrow(run, f"{kinds}, code bigint")
 
 
-def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
-    """The references that fail, as rows ``src_table, src_key, ref_field, ref_value, kind``.
+def failing(references: DataFrame, parents: DataFrame) -> DataFrame:
+    """The references that fail, as rows ``src_table, src_key, ref_field, ref_value, at, kind``.
 
     ``references``: ``src_table, src_key, ref_field, ref_value, at`` (null time: only missing counts).
     ``parents``: ``ref_field, key_value, since, until``, a row per target; both times may be null (no bound).
     """
-    refs = references.withColumn("name", folded(F.col("ref_value"))).where("name <> ''").withColumn("period", month(F.col("at")))
-    used = durable(refs.groupBy("src_table", "ref_field", "name", "period").agg(F.lit(1).alias("one")).drop("one"), "used")
+    period = F.coalesce(month(F.col("at")), F.lit(NO_PERIOD))
+    refs = references.withColumn("name", folded(F.col("ref_value"))).where("name <> ''").withColumn("period", period)
+    used = durable(refs.groupBy("ref_field", "name", "period").agg(F.count(F.lit(1)).alias("n")), "used")
     targets = durable(
         parents.withColumn("name", folded(F.col("key_value")))
         .where("name <> ''")
@@ -103,8 +106,8 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     )
     codes = dictionary(used.select("name").unionByName(targets.select("name")))
     by = ["ref_field", "period"]
-    period = F.coalesce("period", F.lit(-1)).alias("period")
-    wanted = bitmaps(used.join(codes, "name").select("ref_field", period, "code").distinct(), by, "refs")
+    coded = durable(used.join(codes, "name"), "coded")
+    wanted = bitmaps(coded.select(*by, "code"), by, "refs")
     # A row without a time can only miss its target, so period -1 asks for the name alone.
     start, end = month_start(F.col("period")), month_start(F.col("period") + 1)
     whole = F.exists(
@@ -115,20 +118,21 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     known = targets.withColumn("free", free).join(codes, "name")
     # Targets without bounds need one bitmap for all periods; only the others depend on the month.
     always = bitmaps(known.where("free").select("ref_field", "code"), ["ref_field"], "always")
-    periods = used.select("ref_field", period).distinct()  # a row per field and month
+    periods = used.select(*by).distinct()  # a row per field and month
     held = bitmaps(known.where("not free").join(F.broadcast(periods), "ref_field").where(whole).select(*by, "code"), by, "held")
     wanted = wanted.join(held, [*by, "bucket"], "left").join(always, ["ref_field", "bucket"], "left")
     left = decode(wanted, by, "ref_field string, period int")
-    suspects = left.join(codes, "code").join(targets, ["ref_field", "name"], "left").select("ref_field", "name", F.when(F.col("period") >= 0, F.col("period")).alias("period"), "spans")
-    salted = suspects.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = refs.withColumn("salt", F.pmod(F.xxhash64("src_key"), F.lit(SALTS)).cast("int")).join(
-        salted.withColumnRenamed("period", "p").withColumnRenamed("ref_field", "f").withColumnRenamed("name", "n").withColumnRenamed("salt", "s"),
-        (F.col("ref_field") == F.col("f")) & (F.col("name") == F.col("n")) & F.col("period").eqNullSafe(F.col("p")) & (F.col("salt") == F.col("s")),
-    )
+    suspects = left.join(coded, [*by, "code"]).join(targets, ["ref_field", "name"], "left").select("ref_field", "name", "period", "spans", "n")
+    found = lookup(refs, durable(suspects, "suspects"), ["ref_field", "name", "period"], "src_key", rows="n")
     there = F.exists("spans", lambda s: (s["since"].isNull() | (F.col("at") >= s["since"])) & (s["until"].isNull() | (F.col("at") < s["until"])))
     gone = F.exists("spans", lambda s: s["until"].isNotNull() & (F.col("at") >= s["until"]))
     kind = F.when(F.col("spans").isNull(), "missing").when(F.col("at").isNull() | there, None).when(gone, "deleted").otherwise("late")
-    return found.withColumn("kind", kind).where("kind is not null").select("src_table", "src_key", "ref_field", "ref_value", "kind")
+    return found.withColumn("kind", kind).where("kind is not null").select("src_table", "src_key", "ref_field", "ref_value", "at", "kind")
+
+
+def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
+    """``failing`` without times."""
+    return failing(references, parents).drop("at")
 
 
 def log_references(student_step: DataFrame, questions: DataFrame) -> DataFrame:
@@ -159,11 +163,10 @@ def log_parents(problems: DataFrame, questions: DataFrame, kc_template: DataFram
     )
 
 
-def orphan_report(found: DataFrame, references: DataFrame) -> DataFrame:
-    """Failing references per table, field, kind and month, beside all references of that month."""
-    month_name = F.date_format("at", "yyyy-MM")
-    keyed = references.select("src_table", "src_key", "ref_field", "ref_value", F.coalesce(month_name, F.lit("none")).alias("month"))
-    per = keyed.where(folded(F.col("ref_value")) != "").groupBy("src_table", "ref_field", "month").agg(F.count(F.lit(1)).alias("n_refs"))
-    times = keyed.select("src_table", "src_key", "month").distinct()
-    bad = found.join(times, ["src_table", "src_key"]).groupBy("src_table", "ref_field", "month", "kind").agg(F.count(F.lit(1)).alias("n_failed"))
-    return bad.join(per, ["src_table", "ref_field", "month"])
+def orphan_report(failed: DataFrame, references: DataFrame) -> DataFrame:
+    """Failing references (of ``failing``) per table, field, kind and month, beside all references of that month."""
+    month_name = F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("none")).alias("month")
+    by = ["src_table", "ref_field", "month"]
+    per = references.where(folded(F.col("ref_value")) != "").select("src_table", "ref_field", month_name).groupBy(*by).agg(F.count(F.lit(1)).alias("n_refs"))
+    bad = failed.select("src_table", "ref_field", month_name, "kind").groupBy(*by, "kind").agg(F.count(F.lit(1)).alias("n_failed"))
+    return bad.join(per, by)

@@ -46,7 +46,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     """Failing references per table, field, month and kind."""
     given, parents = _references(spark, sf)
-    return refs.orphan_report(refs.orphans(given, parents), given)
+    return refs.orphan_report(refs.failing(given, parents), given)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_parts, p1_choices, p6_found, p6_report)}

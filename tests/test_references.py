@@ -63,7 +63,8 @@ def test_log_references_with_dirt(spark):
     refs = R.log_references(steps, questions)
     problems = spark.createDataFrame([("p", datetime(2024, 1, 1, 0, 0, 1), None)], "problem_name string, added_at timestamp_ntz, retired_at timestamp_ntz")
     template = spark.createDataFrame([(1, None), (2, "other")], "row_id bigint, step_name string")
-    found = R.orphans(refs, R.log_parents(problems, questions, template))
+    parents = R.log_parents(problems, questions, template)
+    found = R.orphans(refs, parents)
     assert rows(found) == [("questions", 0, "ds_step_name", "s", "missing")] * 2 + [("student_step", 1, "problem_name", "P", "late")]
-    report = rows(R.orphan_report(found, refs))
+    report = rows(R.orphan_report(R.failing(refs, parents), refs))
     assert ("student_step", "problem_name", "2024-01", "late", 1, 1) in report
