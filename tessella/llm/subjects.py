@@ -1,17 +1,27 @@
 """Subjects of documents by class-association rules.
 
 A labelled document's statements (sentences, lines) are transactions: the words
-of a statement and the document's subject as one more item.  Frequent itemsets
-are mined by parallel frequent-pattern growth; those with one subject are rules
-"these words, then this subject".  A rule is redundant, and pruned, if one with
-fewer of its words has as much confidence.  Confidence is calibrated by
-shrinking it to the subject's share of all statements.
+of a statement, and the document's subject as their class.  Frequent itemsets
+are mined by frequent-pattern growth in parallel: words are put in order of
+frequency, every statement is projected on each of its words together with the
+more frequent words before it, and projections are counted by word and subject
+and grown word by word, level by level.  The projected rows lie spread over all
+tasks and are added up before they are shuffled, so no task gathers the
+projection of one word, and repeated statements are one row with a count.
+
+Only itemsets that can still give a better rule are grown: not those that cover
+the same statements as one of their subsets, nor those that no longer word list
+could make surer.  A rule is an itemset with a subject of enough confidence; it
+is redundant, and pruned, if any of its proper subsets has as much confidence.
+Confidence is calibrated by shrinking it to the subject's share of all
+statements.
 
 Every document is scored over all its statements: the matching rules of a
-statement add their evidence (log of calibrated confidence over prior), and the
-statement speaks for the subject with the most.  A document is about a subject
-if a fair share of its telling statements, and more than a passing one, speak
-for it, so a document may have several subjects or none.
+statement add their evidence (log of calibrated confidence over prior), which
+is turned into the subjects' shares of the statement; the document adds up the
+shares.  A document is about a subject if a fair share of its telling
+statements, and more than a passing one, speak for it, so a document may have
+several subjects or none.
 
 Mining is done with the given labels, then again with these and the documents
 the rules are sure of, which reaches words and languages the labels hardly
@@ -19,24 +29,27 @@ touch and outweighs wrong labels.  A subject for which a later fit has no rule
 keeps its earlier ones.  Texts are parsed once; every round scores all
 documents, and every fit counts all statements it is given.
 
+Bounds: a rule has at most ``LONGEST`` words; a statement of more than
+``WINDOW`` words (a text without any stop) is read as several, none of its
+words is left out.
+
 Defined results: null, empty and blank texts have no subject; labels outside
 the list of subjects are ignored; without labels no document has a subject.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from math import log
+from math import exp, log
 
 import pyarrow as pa
 import regex
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable, width
+from ..session import durable, forget, width
 from .lookalike import unify
 
 SUPPORT = 3  # statements a rule is seen in, at least
@@ -44,8 +57,11 @@ SUPPORT = 3  # statements a rule is seen in, at least
 GAIN = 0.55  # of a rule
 WORD_GAIN = 0.28  # of a word, to be mined
 SHRINK = 2.0
+LONGEST = 5  # words of a rule
+WINDOW = 64  # words of a statement
 SHARE = 0.27  # of the telling statements
 OF_ALL = 0.1  # of all statements
+ENOUGH = 1.5  # shares of statements that are more than a passing mention: nearer to two than to one
 SURE, SURE_STATEMENTS = 0.85, 3
 ROUNDS = 2  # fits after the first
 
@@ -61,10 +77,14 @@ def statements(text: str | None) -> list[set[str]]:
         items = set()
         for word in LETTERS.findall(part):
             if HAN.search(word):
-                for run in HAN.findall(word):
-                    items.update(run[i : i + 2] for i in range(len(run) - 1))
-            elif len(word) > 1:
-                items.add(word)
+                units = [run[i : i + 2] for run in HAN.findall(word) for i in range(len(run) - 1)]
+            else:
+                units = [word] if len(word) > 1 else []
+            for unit in units:
+                if len(items) == WINDOW and unit not in items:
+                    out.append(items)
+                    items = set()
+                items.add(unit)
         if items:
             out.append(items)
     return out
@@ -86,11 +106,20 @@ def transactions(labelled: DataFrame) -> DataFrame:
     return labelled.select("subject", F.explode("parts").alias("words"))
 
 
+def _of_classes(counts: str = "counts"):
+    """Number of statements of an itemset, from its ``counts`` (array of subject and number)."""
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+
+
+def _confidence(n, whole, prior):
+    return (n + SHRINK * prior) / (whole + SHRINK)
+
+
 def mine(given: DataFrame) -> tuple[list[tuple[tuple[str, ...], str, float]], dict[str, float]]:
     """Rules ``(words, subject, evidence)`` and the priors from transactions ``subject, words``.
 
-    Words and itemsets are counted where they lie before they are shuffled; the
-    rules grow with the words that lean to a subject, not with the documents.
+    What comes to the driver are the rules that are left; they grow with the
+    words that lean to a subject, not with the documents.
     """
     counts = {r.subject: r.n for r in given.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per subject
     total = sum(counts.values())
@@ -99,56 +128,95 @@ def mine(given: DataFrame) -> tuple[list[tuple[tuple[str, ...], str, float]], di
     prior = {s: n / total for s, n in counts.items()}
     spark = given.sparkSession
     priors = F.broadcast(spark.createDataFrame(list(prior.items()), "subject string, prior double"))
+    # Words that lean to a subject, numbered by frequency (ties by name): place 0 is the most frequent.
     per = given.select("subject", F.explode("words").alias("w")).groupBy("w", "subject").agg(F.count(F.lit(1)).alias("n")).join(priors, "subject")
-    per = per.withColumn("all", F.sum("n").over(Window.partitionBy("w")))
-    gain = (F.col("n") / F.col("all") - F.col("prior")) / F.greatest(1 - F.col("prior"), F.lit(1e-9))
-    leaning = per.where((F.col("n") >= SUPPORT) & (gain >= WORD_GAIN)).select("w").distinct()
-    numbered = given.withColumn("row", F.monotonically_increasing_id())
-    numbered = durable(numbered, "statements")
-    kept = numbered.select("row", F.explode("words").alias("w")).join(leaning, "w").groupBy("row").agg(F.collect_list("w").alias("kept"))
-    baskets = numbered.join(kept, "row").select(F.concat(F.array(F.concat(F.lit("\x01"), F.col("subject"))), "kept").alias("items"))
-    baskets = durable(baskets, "baskets")
-    n = baskets.count()
-    if not n:
-        return [], prior
-    # Spark rounds minSupport * n up; half a statement less, so that no floating point makes it one more.
-    found = FPGrowth(itemsCol="items", minSupport=(SUPPORT - 0.5) / n, minConfidence=0.0, numPartitions=width(spark)).fit(baskets).freqItemsets
-    marks = F.filter("items", lambda x: x.startswith("\x01"))
-    words = F.array_sort(F.filter("items", lambda x: ~x.startswith("\x01")))
-    found = found.select(words.alias("words"), F.size(marks).alias("k"), F.substring(F.try_element_at(marks, F.lit(1)), 2, 1000).alias("subject"), "freq")
-    found = durable(found.where("k <= 1 and size(words) > 0"), "itemsets")
-    alone = found.where("k = 0").select("words", F.col("freq").alias("all"))
-    sure_of = (F.col("freq") + SHRINK * F.col("prior")) / (F.col("all") + SHRINK)
-    kept = found.where("k = 1").join(alone, "words").join(priors, "subject").withColumn("confidence", sure_of)
-    kept = kept.where(F.col("confidence") - F.col("prior") >= GAIN * (1 - F.col("prior"))).select("words", "subject", "confidence")
-    sure = {(tuple(r.words), r.subject): r.confidence for r in kept.collect()}  # as many as leaning words allow
-    rules = []
-    for (words, subject), confidence in sure.items():
-        if any(sure.get((words[:i] + words[i + 1 :], subject), 0.0) >= confidence for i in range(len(words)) if len(words) > 1):
-            continue  # a rule with fewer words is as good
-        rules.append((words, subject, log(confidence / prior[subject])))
-    return rules, prior
+    per = per.withColumn("whole", F.sum("n").over(Window.partitionBy("w")))
+    gain = (F.col("n") / F.col("whole") - F.col("prior")) / F.greatest(1 - F.col("prior"), F.lit(1e-9))
+    leaning = durable(per.where((F.col("n") >= SUPPORT) & (gain >= WORD_GAIN)).select("w", "whole").distinct(), "leaning")
+    # The statements as arrays of leaning words, most frequent first; equal ones are one row.
+    numbered = durable(given.select("subject", "words", F.monotonically_increasing_id().alias("row")), "statements")
+    met = numbered.select("row", "subject", F.explode("words").alias("w")).join(leaning, "w")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("whole")).alias("f"), "w"))), lambda x: x["w"])  # at most WINDOW words
+    projected = met.groupBy("row", "subject").agg(ordered.alias("before")).groupBy("before", "subject").agg(F.count(F.lit(1)).alias("n"))
+    projected = durable(projected.select(F.array().cast("array<string>").alias("items"), "before", "subject", "n"), "projected")
+    forget(numbered)
+    levels: list[DataFrame] = []
+    for size in range(1, LONGEST + 1):
+        # Grow every itemset by each word before its first one, and count by subject.
+        grown = projected.select(
+            F.posexplode("before").alias("at", "w"), "items", "before", "subject", "n"
+        ).select(F.concat(F.array("w"), "items").alias("items"), F.slice("before", 1, F.col("at")).alias("before"), "subject", "n")
+        per_class = grown.groupBy("items", "subject").agg(F.sum("n").alias("n"))
+        found = per_class.groupBy("items").agg(F.collect_list(F.struct("subject", "n")).alias("counts")).withColumn("whole", _of_classes())  # a subject each
+        found = found.where(F.exists("counts", lambda c: c["n"] >= SUPPORT))
+        if size > 1:
+            # An itemset that covers what a subset covers, or has a subset that was not grown, gives no better rule.
+            subset = F.explode(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.filter("items", lambda x, j: j != i - 1)))
+            below = levels[-1].where("open").select(F.col("items").alias("sub"), F.col("whole").alias("sub_whole"))
+            whole = found.select("items", "whole", subset.alias("sub")).join(below, "sub").where("sub_whole > whole").groupBy("items").agg(F.count(F.lit(1)).alias("n_subs"))
+            found = found.join(whole.where(F.col("n_subs") == size), "items", "left_semi")
+        weighted = F.transform("counts", lambda c: F.struct(c["subject"].alias("subject"), c["n"].alias("n"), F.try_element_at(F.create_map(*(x for s, p in prior.items() for x in (F.lit(s), F.lit(p)))), c["subject"]).alias("prior")))
+        found = found.withColumn("counts", weighted)
+        # The surest a longer rule can be: all statements of a subject that the itemset has, and no other.
+        better = F.exists("counts", lambda c: (c["n"] >= SUPPORT) & (_confidence(c["n"], c["n"], c["prior"]) > _confidence(c["n"], F.col("whole"), c["prior"]) + 1e-12))
+        found = durable(found.withColumn("open", better), "itemsets")
+        levels.append(found)
+        if size == LONGEST or not found.where("open").limit(1).count():
+            break
+        # The next projections: only below itemsets that are grown, and of these only where a word is left.
+        kept = grown.where(F.size("before") > 0).join(found.where("open").select("items"), "items", "left_semi")
+        after = durable(kept.groupBy("items", "before", "subject").agg(F.sum("n").alias("n")), "projected")
+        forget(projected)
+        projected = after
+    sure = levels[0]
+    for more in levels[1:]:
+        sure = sure.unionByName(more)
+    sure = sure.select("items", "whole", F.explode("counts").alias("c")).select(F.array_sort("items").alias("words"), "c.subject", _confidence(F.col("c.n"), F.col("whole"), F.col("c.prior")).alias("confidence"), F.col("c.prior").alias("prior"), F.col("c.n").alias("n"))
+    sure = durable(sure.where(F.col("n") >= SUPPORT), "confidences")
+    rules = sure.where(F.col("confidence") - F.col("prior") >= GAIN * (1 - F.col("prior")))
+    # Redundant: some proper subset is as sure.
+    k = F.size("words")
+    every = F.sequence(F.lit(1), F.pow(F.lit(2.0), k).cast("int") - 2)
+    picks = F.transform(every, lambda m: F.filter("words", lambda x, j: F.floor(m / F.pow(F.lit(2.0), j)) % 2 == 1))  # the bits of m say which words
+    long = rules.where(k > 1).select("words", "subject", "confidence", F.explode(picks).alias("sub"))
+    worse = long.join(sure.select(F.col("words").alias("sub"), "subject", F.col("confidence").alias("held")), ["sub", "subject"]).where("held >= confidence").select("words", "subject").distinct()
+    left = rules.join(worse, ["words", "subject"], "left_anti")
+    return [(tuple(r.words), r.subject, log(r.confidence / r.prior)) for r in left.collect()], prior  # as many as leaning words allow
 
 
 class Scorer:
-    """Matches rules against statements."""
+    """Matches rules against statements; a rule is looked for under its rarest word."""
 
     def __init__(self, rules: list[tuple[tuple[str, ...], str, float]]):
+        uses: dict[str, int] = defaultdict(int)
+        for words, _, _ in rules:
+            for w in words:
+                uses[w] += 1
         self.by_word = defaultdict(list)
         for words, subject, evidence in rules:
-            self.by_word[words[0]].append((frozenset(words), subject, evidence))
+            self.by_word[min(words, key=lambda w: (uses[w], w))].append((frozenset(words), subject, evidence))
 
-    def statement(self, items: set[str]) -> str | None:
-        score: dict[str, float] = defaultdict(float)
+    def statement(self, items: set[str]) -> dict[str, float]:
+        """The subjects' shares of a statement: evidence adds up, shares are in its proportion as odds."""
+        score: dict[str, float] = {}
         for word in items:
             for words, subject, evidence in self.by_word.get(word, ()):
                 if words <= items:
-                    score[subject] += evidence
-        return max(sorted(score), key=score.get) if score else None
-
-    def document(self, parts: list[list[str]]) -> tuple[int, Counter]:
-        """The number of statements and, per subject, of those that speak for it."""
-        return len(parts), Counter(filter(None, (self.statement(set(items)) for items in parts)))
+                    score[subject] = score.get(subject, 0.0) + evidence
+        if len(score) < 2:
+            return dict.fromkeys(score, 1.0)
+        top = max(score.values())
+        odds = {s: exp(max(e - top, -50.0)) for s, e in score.items()}
+        whole = sum(odds.values())
+        return {s: o / whole for s, o in sorted(odds.items())}
+
+    def document(self, parts: list[list[str]]) -> tuple[int, dict[str, float]]:
+        """The number of statements and, per subject, the sum of its shares of them."""
+        votes: dict[str, float] = {}
+        for items in parts:
+            for s, share in self.statement(set(items)).items():
+                votes[s] = votes.get(s, 0.0) + share
+        return len(parts), votes
 
 
 def score(documents: DataFrame, rules: list, key: str = "doc_id") -> DataFrame:
@@ -165,10 +233,10 @@ def score(documents: DataFrame, rules: list, key: str = "doc_id") -> DataFrame:
                 rows += [(i, s, n, telling, size) for s, n in votes.items()]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=[key, "subject", "n", "telling", "statements"]
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=[key, "subject", "n", "telling", "statements"]
             )
 
-    return documents.select(key, "parts").mapInArrow(run, f"{key} bigint, subject string, n bigint, telling bigint, statements bigint")
+    return documents.select(key, "parts").mapInArrow(run, f"{key} bigint, subject string, n double, telling double, statements double")
 
 
 def succeed(rules: list, better: list) -> list:
@@ -179,7 +247,8 @@ def succeed(rules: list, better: list) -> list:
 
 def about(scored: DataFrame) -> DataFrame:
     """The subjects a document is about."""
-    enough = (F.col("n") >= SHARE * F.col("telling")) & (F.col("n") >= OF_ALL * F.col("statements")) & ((F.col("n") >= 2) | (F.col("n") * 2 >= F.col("statements")))
+    passing = (F.col("n") < ENOUGH) & (F.col("n") * 2 < F.col("statements") - 0.02)
+    enough = (F.col("n") >= SHARE * F.col("telling") - 0.01) & (F.col("n") >= OF_ALL * F.col("statements") - 0.01) & ~passing
     return scored.where(enough).select("doc_id", "subject")
 
 
@@ -192,7 +261,7 @@ def subjects(documents: DataFrame, doc_labels: DataFrame, subject_list: DataFram
     rules, _ = mine(durable(transactions(texts.join(labels, "doc_id")), "labelled"))
     for _ in range(ROUNDS):
         scored = score(texts, rules)
-        sure = scored.where((F.col("n") >= SURE * F.col("telling")) & (F.col("n") >= SURE_STATEMENTS)).select("doc_id", "subject")
+        sure = scored.where((F.col("n") >= SURE * F.col("telling")) & (F.col("n") >= SURE_STATEMENTS - 0.5)).select("doc_id", "subject")
         better, _ = mine(durable(transactions(texts.join(labels.unionByName(sure).distinct(), "doc_id")), "sure"))
         rules = succeed(rules, better)
     return about(score(texts, rules))

@@ -187,6 +187,58 @@ def test_rules_seen_in_three_statements(spark):
     assert (("rare",), "a") in {(w, s) for w, s, _ in rules}
 
 
+def test_repeated_long_lines_end(spark):
+    """A line of forty leaning words, repeated and with single words left out, is mined without listing its subsets."""
+    import time
+
+    words = ["w" + a + b for a in "abcdefgh" for b in "abcde"]
+    data = [("a", words)] * 30 + [("a", [w for w in words if w != out]) for out in words] + [("a", [w]) for w in words] * 2 + [("b", [w]) for w in words] + [("b", ["other"])] * 60
+    began = time.time()
+    rules, _ = S.mine(spark.createDataFrame(data, "subject string, words array<string>"))
+    assert time.time() - began < 90 and (("other",), "b") in {(w, s) for w, s, _ in rules}
+
+
+def test_mined_rules_against_all_itemsets(spark):
+    """The rules are those of listing every itemset and pruning against every subset."""
+    import itertools
+    import math
+
+    rng = random.Random(8)
+    data = []
+    for _ in range(160):
+        s = rng.choice("ab")
+        data.append((s, sorted({w for w in "uvwxyz" if rng.random() < (0.55 if (w in "uvw") == (s == "a") else 0.2)})))
+    data = [(s, w) for s, w in data if w]
+    prior = {s: sum(t == s for t, _ in data) / len(data) for s in "ab"}
+    conf = {}
+    leaning = [w for w in "uvwxyz" if any(sum(s == t and w in ws for t, ws in data) >= S.SUPPORT and (sum(s == t and w in ws for t, ws in data) / sum(w in ws for _, ws in data) - prior[s]) / (1 - prior[s]) >= S.WORD_GAIN for s in "ab")]
+    for k in range(1, S.LONGEST + 1):
+        for x in itertools.combinations(leaning, k):
+            cover = [s for s, ws in data if set(x) <= set(ws)]
+            for s in "ab":
+                if cover.count(s) >= S.SUPPORT:
+                    conf[x, s] = (cover.count(s) + S.SHRINK * prior[s]) / (len(cover) + S.SHRINK)
+    want = {}
+    for (x, s), c in conf.items():
+        subs = [y for k in range(1, len(x)) for y in itertools.combinations(x, k)]
+        if c - prior[s] >= S.GAIN * (1 - prior[s]) and not any(conf.get((y, s), 0) >= c - 1e-12 for y in subs):
+            want[x, s] = math.log(c / prior[s])
+    rules, _ = S.mine(spark.createDataFrame(data, "subject string, words array<string>"))
+    assert {(w, s): pytest.approx(e) for w, s, e in rules} == want and len(want) > 3
+
+
+def test_shares_of_a_statement():
+    scorer = S.Scorer([(("a",), "x", 2.0), (("a", "b"), "y", 2.0), (("c",), "y", 9.0)])
+    assert scorer.statement({"a"}) == {"x": 1.0} and scorer.statement({"a", "b"}) == {"x": 0.5, "y": 0.5}
+    size, votes = scorer.document([["a"], ["c", "a"], ["q"]])
+    assert size == 3 and votes["x"] == pytest.approx(1.0009, abs=1e-3)
+
+
+def test_very_long_statements_are_read_whole():
+    parts = S.statements(" ".join("w" + "abcdefghij"[i // 100] + "abcdefghij"[i // 10 % 10] + "abcdefghij"[i % 10] for i in range(1000)))
+    assert len(set().union(*parts)) == 1000 and max(map(len, parts)) <= S.WINDOW
+
+
 def test_statements():
     assert S.statements("One is here. Two\nit 中文字。中") == [{"one", "is", "here"}, {"two"}, {"it", "中文", "文字"}]
     assert S.statements(None) == [] and F is not None
