@@ -4,7 +4,9 @@ A token's letters each carry the set of scripts they are used in.  Where these
 sets have no script in common the token mixes scripts; where they have one but
 every letter also has a twin in another script the token as a whole can be
 read in both.  Either way the spelling in the script the text is written in is
-selected.  What remains (wide and joined forms, composable accents, unusual
+selected.  Latin letters of phonetic and small-capital use that look like plain
+ones give way in words that are otherwise plain, and look-alikes of 0 and 1
+inside a number become digits.  What remains (wide and joined forms, composable accents, unusual
 blanks, invisible characters) is replaced form by form.  Signs with a look of
 their own - superscripts, fractions, circled and Greek quantities - stay.
 
@@ -37,7 +39,25 @@ TWINS = dict(
         "ovaipuyABEZHIKMNOPTYXCj",
         strict=True,
     )
-) | dict(zip("օսոհցՕՍⅼ", "ounhgOUl", strict=True))
+) | dict(zip("օսոհցՕՍ", "ounhgOU", strict=True)) | dict(
+    zip(
+        "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ",
+        "ABCDEGHJKLMPRSTVWZ",
+        strict=True,
+    )
+) | dict(
+    zip(
+        "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ",
+        "ABCDEFGHIJKLMNOPRSTUVWXYZ",
+        strict=True,
+    )
+) | dict(zip("ⲟⲣⲥⲞⲢⲤⲘⲚⲦⲔ", "opcOPCMNTK", strict=True))
+# Latin letters that look like a plain one.
+LATIN_TWINS = dict(zip("ɡɑıᴄᴏᴠᴡᴢꜱᴜⅼ", "gaicovwzsul", strict=True))
+# Letters by which a text shows that it writes the dotless i.
+DOTLESS = regex.compile(r"[ğşĞŞİ]")
+# Plain letters that look like a digit.
+DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
 # Of these the shape alone does not tell; only a mixed token gives them away.
 WEAK = frozenset("αιρυγνВНвнг")
 
@@ -47,9 +67,9 @@ JOINING = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Devanagari}\p{Ben
 INVISIBLE = regex.compile(r"[\p{Cf}\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0]")
 KEPT_FORMAT = regex.compile(r"[\u0600-\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd\U000e0020-\U000e007f]")
 BLANK = regex.compile(r"[\p{Zs}\p{Zl}\p{Zp}]")
-TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+TOKEN = regex.compile(r"[\p{L}\p{M}\u217c]+")
 HAS_OTHER = regex.compile(r"[^\x00-\x7f]")
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Lisu", "Coptic")
 SCRIPT_TESTS = {s: regex.compile(rf"\p{{Script_Extensions={s}}}") for s in SCRIPTS}
 #: Decompositions whose result looks the same as the character itself.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
@@ -116,6 +136,28 @@ def _resolved(token: str, home: str, near: set[str]) -> str:
     return token
 
 
+def _is_plain(ch: str) -> bool:
+    """An ASCII letter, with accents or without."""
+    return ch.isascii() or unicodedata.normalize("NFD", ch)[0].isascii()
+
+
+def _plain_latin(token: str, dotless: bool) -> str:
+    """A Latin word without letters that merely look like plain ones; phonetic spellings stay."""
+    odd = [ch for ch in token if ch in LATIN_TWINS and not (dotless and ch == "ı")]
+    rest = [ch for ch in token if ch not in LATIN_TWINS and unicodedata.category(ch)[0] != "M"]
+    if not odd or not rest or not all(map(_is_plain, rest)):
+        return token
+    return "".join(LATIN_TWINS[ch] if ch in odd else ch for ch in token)
+
+
+def _in_number(token: str, before: str, after: str) -> str | None:
+    """The digits that a run of look-alikes stands for inside a number; None if it is no such run."""
+    if not (before[-1:].isdecimal() and (after[:1].isdecimal() or before[-2:-1].isdecimal())):
+        return None
+    digits = [DIGITS.get(TWINS.get(ch) or LATIN_TWINS.get(ch, "")) for ch in token]
+    return "".join(digits) if all(digits) else None
+
+
 def unify(text: str) -> str:
     """The one form of ``text`` in which equal-looking texts are equal."""
     if text.isascii():
@@ -135,7 +177,7 @@ def unify(text: str) -> str:
         return text
     tokens = TOKEN.findall(text)
     sure = [{s for ch in set(token) if ch not in TWINS for s in scripts_of(ch)} for token in tokens]
-    counts = dict.fromkeys(("Latin", "Cyrillic", "Greek", "Armenian", "Other"), 0)
+    counts = dict.fromkeys((*SCRIPTS, "Other"), 0)
     for own in sure:
         for s in own:
             counts[s] += 1
@@ -146,9 +188,13 @@ def unify(text: str) -> str:
         i = next(at)
         if m[0].isascii():
             return m[0]
+        number = _in_number(m[0], text[max(0, m.start() - 2) : m.start()], text[m.end() : m.end() + 1])
+        if number is not None:
+            return number
         near = set().union(*(sure[j] for j in (i - 1, i + 1) if 0 <= j < len(sure) and len(sure[j]) == 1))
-        return _resolved(m[0], home, near)
+        return _plain_latin(_resolved(m[0], home, near), dotless)
 
+    dotless = DOTLESS.search(text) is not None
     return unicodedata.normalize("NFC", TOKEN.sub(resolve, text))  # a resolved letter may meet an accent
 
 

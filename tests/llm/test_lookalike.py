@@ -14,6 +14,17 @@ def test_forms():
         assert L.unify(given) == want
 
 
+def test_more_scripts_and_numbers():
+    cases = {
+        "a ɡraph": "a graph", "ıt is": "it is", "the ᴡord": "the word", "Ꭺ plain Ꭼnd": "A plain End", "ꓮ and ꓡist": "A and List", "ⲟne": "one",
+        "1О0 and 10О": "100 and 100", "2ⅼ5": "215", "О5 left": "O5 left", "cafɡé": "cafgé", "weⅼⅼ": "well",
+    }
+    for given, want in cases.items():
+        assert L.unify(given) == want and L.unify(want) == want
+    for text in ("[ɡræf]", "kapı ve ağaç", "/wɜːd/", "ᴡᴏᴠ", "x ɑ"):
+        assert L.unify(text) == text
+
+
 def test_what_is_right_stays():
     for text in ("", "plain", "x²", "½ of it", "30 °C ≤ 5", "Δt and π", "Π", "café naïve façade", "The sign reads жёлтый.", "reads сор деньги", "a\tb\nc\r\n", "中文", "می‌خواهم", "\U0001f468‍\U0001f469"):
         assert L.unify(text) == text
