@@ -5,6 +5,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tessella.llm import canonical as C
 from tessella.llm import ledger as L
@@ -43,6 +44,24 @@ def test_ledger_over_batches(spark):
     assert dict((r[0], r[1]) for r in rows(again.read()))["k3"] == 8
 
 
+def test_ledger_grows_and_drops_old_versions(spark, monkeypatch, tmp_path):
+    """Buckets double as keys come; only versions that hold a bucket stay on disk."""
+    import os
+
+    monkeypatch.setattr(L, "PER_BUCKET", 4)
+    keyed = spark.createDataFrame([(i, f"k{i % 90}") for i in range(300)], "ord bigint, key string")
+    led = L.Ledger(spark, f"file://{tmp_path}/led", buckets=4)
+    for part in L.in_batches(keyed, 3):
+        led.add(part)
+    want = sorted(((f"k{m}", len(range(m, 300, 90)), m) for m in range(90)), key=repr)
+    assert sorted(((r[0], r[1], r[2]) for r in led.read().collect()), key=repr) == want and led.buckets >= 23
+    assert {int(d[1:]) for d in os.listdir(f"{tmp_path}/led") if d[0] == "v"} == {v for v, _ in led.where.values()}
+    again = L.Ledger(spark, led.path)
+    assert again.buckets == led.buckets and rows(again.read()) == rows(led.read())
+    again.add(spark.createDataFrame([(999, "new")], "ord bigint, key string"))
+    assert len({v for v, _ in again.where.values()}) == 2  # one bucket is written anew, no other
+
+
 def test_large_group_in_cells(spark, monkeypatch):
     monkeypatch.setattr(L.blocked, "__defaults__", (16,))
     keyed = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(150)], "ord bigint, key string")
@@ -130,6 +149,32 @@ def test_groups_against_brute_force(spark):
     assert rows(N.near_groups(can)) == sorted((w for w in want if w[2] or w[3] > 1), key=repr)
 
 
+@pytest.mark.parametrize("hot,block", [(1, 4), (2, 4), (5, 8)])
+def test_small_and_hot_sets_are_whole(spark, monkeypatch, hot, block):
+    """Sets of one word and sets of hot words alone, under keys of their own."""
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "BLOCK", block)
+    words = ["what", "is", "this", "one"]
+    sets = [(f"a{i}", ["what"]) for i in range(5)] + [(f"b{i}", sorted(words[:3])) for i in range(3)] + [(f"c{i}", sorted(words)) for i in range(4)] + [("d", ["is"]), ("e", ["is"]), ("f", [])]
+    df = spark.createDataFrame([(i, k, w) for i, (k, w) in enumerate(sets)], "ord bigint, key string, words array<string>")
+    similar = lambda a, b: a and b and len(set(a) & set(b)) >= 0.7 * len(set(a) | set(b)) - 1e-9
+    want = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if similar(sets[i][1], sets[j][1])]
+    assert rows(N.near_pairs(df, 0.7)) == sorted(want, key=repr)
+
+
+def test_hot_lookup_is_salted(spark, monkeypatch):
+    """A key that most rows carry is dealt out and nothing is lost or doubled."""
+    from tessella import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
+    big = spark.createDataFrame([(i, "hot" if i % 4 else f"k{i % 8}") for i in range(200)] + [(999, None)], "i bigint, k string")
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted([(r.k, r.i, sum((q % 4 != 0) == (r.i % 4 != 0) and (r.i % 4 != 0 or q % 8 == r.i % 8) for q in range(200))) for r in big.where("k is not null").collect()], key=repr)
+    for given in ("n", None):
+        assert rows(joins.lookup(big, small, ["k"], "i", rows=given).select("k", "i", "n")) == want
+    assert joins.lookup(big, small, ["k"], "i", "left", rows="n").count() == 201
+
+
 def test_one_hot_word_is_enough_for_small_sets(spark, monkeypatch):
     monkeypatch.setattr(N, "HOT", 3)
     sets = [("a", ["the"]), ("b", ["the"]), ("c", ["cat", "the"])] + [(f"x{i}", sorted(["the", f"p{i}", f"q{i}"])) for i in range(8)]
