@@ -5,9 +5,11 @@ It is never formed: with ``X`` the sparse matrix of stems by word buckets, a
 power step is ``X (X' v)``, normalised by degrees.  A block of vectors is
 iterated at once, distributed over the rows of ``X``; what travels is the
 bucket side, at most ``BUCKETS`` x ``VECTORS`` numbers however many rows there
-are, and the block is kept orthogonal through its Gram matrix.  The rows of the
-block, at unit length, are the embedding; k-means clusters it in passes that
-send centroids out and sums back.  Members are ranked by their mean affinity to
+are, and the block is kept orthogonal through its Gram matrix.  Sums over tasks
+are made in a tree: no task adds more than ``FAN`` parts.  Power steps end when
+the block's eigenvalues no longer change, passes of k-means when the centroids
+no longer move.  The rows of the block, at unit length, are the embedding;
+k-means clusters it in passes that send centroids out and sums back.  Members are ranked by their mean affinity to
 their cluster.
 
 Words are weighted by how much they tell of the labels that some rows carry
@@ -29,19 +31,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..joins import lookup
 from ..session import durable
 from .canonical import WORD
 from .lookalike import uniform
-from .skew import lookup
 
 BUCKETS = 1 << 16
 VECTORS = 128
-ITERATIONS = 8
-KMEANS_ROUNDS = 4
+ITERATIONS, SETTLED = 24, 0.01  # power steps at most; relative change of the eigenvalues' sum that ends them
+KMEANS_ROUNDS, STILL = 12, 0.01  # passes at most; the farthest move of a centroid that ends them
+FAN = 32  # parts that one task adds
 SMOOTH = 2.0
 FLOOR = 0.02  # weight of a word that tells nothing
 SLICES = 16
@@ -139,26 +143,36 @@ def blocks(batches: Iterator[pa.RecordBatch], weight: np.ndarray) -> Iterator[tu
             yield step, Block(pa.ListArray.from_arrays(pa.array(column.offsets.to_numpy() - column.offsets[0].as_py(), pa.int32()), column.flatten()), weight)
 
 
-def total_of(rows: DataFrame, columns: list[str], partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+def total_of(rows: DataFrame, columns: list[str], partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], fan: int = FAN) -> np.ndarray:
     """The sum over all tasks of an array each makes of its rows.
 
-    The arrays are cut into slices, summed slice by slice in the cluster, and
-    only the sum comes to the driver.
+    The arrays are cut into slices and summed slice by slice in a tree: a task
+    adds at most ``fan`` parts, however many tasks there were, and only the sum
+    comes to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.asarray(partial(batches), np.float32).ravel()
         cut = np.array_split(flat, SLICES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], names=["slice", "part"])
+        task = pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32())
+        yield pa.RecordBatch.from_arrays([task, pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], names=["task", "slice", "part"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         out = None
         for part in pdf["part"]:
             x = np.frombuffer(part, np.float32).astype(np.float64)
             out = x if out is None else out + x
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "part": [out.astype(np.float32).tobytes()]})
-
-    parts = rows.select(*columns).mapInArrow(run, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary").collect()
+        return pd.DataFrame({"task": pdf["task"].iloc[:1], "slice": pdf["slice"].iloc[:1], "part": [out.astype(np.float32).tobytes()]})
+
+    kind = "task int, slice int, part binary"
+    given = rows.select(*columns)
+    left, sent = given.rdd.getNumPartitions(), given.mapInArrow(run, kind)
+    while True:
+        left = -(-left // fan)
+        sent = sent.withColumn("task", F.pmod("task", F.lit(left)).cast("int")).groupBy("slice", "task").applyInPandas(add, kind)
+        if left == 1:
+            break
+    parts = sent.collect()  # SLICES rows
     return np.concatenate([np.frombuffer(p.part, np.float32) for p in sorted(parts, key=lambda p: p.slice)]).astype(np.float64)
 
 
@@ -187,8 +201,12 @@ class Spectral:
         self.shared = sc.broadcast((weight, place, degree))
         rng = np.random.default_rng(seed)
         w = rng.standard_normal((a, vectors)).astype(np.float32)
-        for _ in range(iterations):
-            w = self._step(w)
+        before = None
+        for self.steps in range(1, iterations + 1):
+            w, found = self._step(w)
+            if before is not None and self.steps > 2 and abs(found - before) <= SETTLED * before:
+                break
+            before = found
         self.w = w
 
     @staticmethod
@@ -200,7 +218,8 @@ class Spectral:
             scale[~np.isin(np.arange(b.n), b.full)] = 0.0
             yield step, b, scale.astype(np.float32)
 
-    def _step(self, w: np.ndarray) -> np.ndarray:
+    def _step(self, w: np.ndarray) -> tuple[np.ndarray, float]:
+        """One power step: the block and the sum of its eigenvalues."""
         a, d = w.shape
         shared, given, opened = self.shared, self.spark.sparkContext.broadcast(w), self._open
 
@@ -218,7 +237,7 @@ class Spectral:
         out, gram = both[: a * d].reshape(a, d), both[a * d :].reshape(d, d)
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
         keep = np.maximum(value, value.max() * 1e-7 + 1e-30)
-        return (out @ vector / np.sqrt(keep)).astype(np.float32)
+        return (out @ vector / np.sqrt(keep)).astype(np.float32), float(np.sqrt(np.maximum(value, 0)).sum())
 
     def embed(self, batches: Iterator[pa.RecordBatch], shared, w: np.ndarray):
         """Each step with its block and unit embedding rows (zero for rows without words)."""
@@ -280,7 +299,11 @@ def cluster(rows: DataFrame, labels: int, clusters: int | None = None) -> DataFr
     for _ in range(KMEANS_ROUNDS):
         given = sc.broadcast(centres.astype(np.float32))
         moved, votes = sums(lambda step, e, c=given: (e @ c.value.T).argmax(axis=1))
-        centres = np.where(votes[:, :1] > 0, _unit(moved), centres)
+        after = np.where(votes[:, :1] > 0, _unit(moved), centres)
+        farthest = np.linalg.norm(after - centres, axis=1).max()
+        centres = after
+        if farthest <= STILL:
+            break
     largest = int(votes[:, 0].argmax())
     names = np.where(votes[:, 1:].sum(axis=1) > 0, votes[:, 1:].argmax(axis=1), -1) if labels else np.full(k, -1)
     last = sc.broadcast((centres.astype(np.float32), names.astype(np.int32), largest))
@@ -328,8 +351,9 @@ def typical(questions: DataFrame, clustered: DataFrame, top: int = 5) -> DataFra
             yield pa.RecordBatch.from_arrays([step.column(0), pa.ListArray.from_arrays(pa.array(starts), pa.array(b.col.astype(np.int32))), pa.ListArray.from_arrays(pa.array(starts), pa.array(b.val.astype(np.float64)))], names=["ord", "b", "v"])
 
     long = rows.select("ord", "idx").mapInArrow(values, "ord bigint, b array<int>, v array<double>").join(found, "ord").select("ord", "kc", F.explode(F.arrays_zip("b", "v")).alias("x")).select("ord", "kc", "x.b", "x.v")
+    long = durable(long, "long")
     sizes = found.groupBy("kc").agg(F.count(F.lit(1)).alias("size"))
-    means = long.groupBy("kc", "b").agg(F.sum("v").alias("s"))
-    scored = lookup(long, means, ["kc", "b"], "ord").groupBy("ord", "kc").agg(F.sum(F.col("v") * F.col("s")).alias("a"))
+    means = durable(long.groupBy("kc", "b").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")), "means")
+    scored = lookup(long, means, ["kc", "b"], "ord", rows="n").groupBy("ord", "kc").agg(F.sum(F.col("v") * F.col("s")).alias("a"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("kc").orderBy(F.desc("a"), "ord")).cast("bigint")).where(F.col("rank") <= top)
     return ranked.join(sizes, "kc").select(F.when(F.col("kc") != "", F.col("kc")).alias("kc"), "size", "rank", "ord", (F.col("a") / F.col("size")).alias("affinity"))

@@ -51,6 +51,21 @@ def test_shards_cuts_and_blocks(spark, monkeypatch):
     assert len(got & want) / len(want) > 0.95
 
 
+def test_probes_follow_the_data(spark, monkeypatch):
+    """More than two hundred shards, three probed first: recall holds for vectors in clusters and for those without any structure."""
+    monkeypatch.setattr(knn, "TARGET", 12)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(250, 24))
+    for x in (centres[rng.integers(250, size=2600)] + 0.2 * rng.normal(size=(2600, 24)), rng.normal(size=(2600, 12))):
+        v = [(i, row.astype(np.float32)) for i, row in enumerate(x)]
+        df = spark.createDataFrame([(i, "", row.tolist()) for i, row in v], VECS)
+        found, _, count = knn.points(df)
+        assert len(knn.pivots(found, count)) > 200
+        want = brute([(i, row.astype(float)) for i, row in v])
+        got = {tuple(r) for r in knn.neighbour_pairs(df).collect()}
+        assert len(got & want) / len(want) > 0.9
+
+
 def test_graph_is_pruned_and_finds():
     x = np.random.default_rng(2).normal(size=(1500, 24)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -90,6 +105,19 @@ def test_clusters_carry_their_names(spark):
     assert all(r["rank"] <= 5 for r in top) and len(top) == 20
 
 
+def test_sums_are_made_in_a_tree(spark):
+    """Four hundred tasks: no group of parts is larger than the fan, whatever their number."""
+    rows_ = spark.range(4000, numPartitions=400).withColumn("idx", F.array(F.col("id").cast("int")))
+
+    def partial(batches):
+        out = np.zeros(40)
+        for b in batches:
+            np.add.at(out, b.column(0).to_numpy() % 40, 1)
+        return out
+
+    assert (K.total_of(rows_, ["id"], partial, fan=8) == 100).all()
+
+
 def test_clusters_without_labels_or_rows(spark):
     questions, table, values, truth = _bank(spark, 80)
     none = table.limit(0)
