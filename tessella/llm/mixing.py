@@ -70,11 +70,6 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def unreachable(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
-    """The sources of ``targets`` that cannot reach their share."""
-    return plan(sizes(documents, path), targets).where("short").select(F.col("source_as_given").alias("source"))
-
-
 def _uniform(doc_id: Column) -> Column:
     """A number in (0, 1) that depends on the id alone, so a task that runs again draws the same."""
     return (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(SEED)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
@@ -145,6 +140,19 @@ def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return taken.where("copies > 0").select("doc_id", "source", "tokens", "copies")
 
 
+def unreachable(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
+    """The sources of ``targets`` that cannot reach their share, as the drawn mixture shows.
+
+    A source falls short if the mixture uses every token it has as often as it
+    may and is still owed some.
+    """
+    sized = sizes(documents, path)
+    used = mix(sized, targets).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
+    reached = plan(sized, targets).join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    exhausted = F.col("used") >= F.col("have") * F.col("max_repeats")
+    return reached.where(exhausted & (F.col("used") < F.col("owed"))).select(F.col("source_as_given").alias("source"))
+
+
 def shares(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source of ``targets``: its target, what it has, what is used and the share reached."""
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_repeats"))
