@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import lookup
 from ..session import durable, width
 from .groups import components
 from .ledger import blocked
-from .skew import lookup
 
 #: A word is frequent from one in so many sets; their table has at most that many times the mean set size.
 FREQUENT = 1000
@@ -46,6 +46,8 @@ FREQUENT = 1000
 HOT = 16384
 #: Members of a cell's side.
 BLOCK = 4096
+#: Long lists whose table is broadcast, at most.
+LONG_LISTS = 100_000
 LANES = 4  # 64-bit words of a union sketch
 
 
@@ -139,8 +141,10 @@ def candidates(lists: DataFrame, threshold: Fraction) -> DataFrame:
     """``a < b``: pairs of one inverted list that the union sketch lets through, each once."""
     num, den = threshold.numerator, threshold.denominator
     spark = lists.sparkSession
-    long = lists.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    cells = blocked(lookup(lists, long, ["key1", "key2"], "id", "left", 4).withColumn("n", F.coalesce("n", F.lit(1))), BLOCK)
+    long = durable(lists.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "long")
+    # A BLOCK-th as many as entries at most: broadcast while that is small.
+    listed = lists.join(F.broadcast(long), ["key1", "key2"], "left") if long.count() <= LONG_LISTS else lookup(lists, long, ["key1", "key2"], "id", "left", rows="n")
+    cells = blocked(listed.withColumn("n", F.coalesce("n", F.lit(1))), BLOCK)
     columns = ["key1", "key2", "lo", "hi"]
     laid = cells.select(*columns, (F.col("own") != F.col("lo")).alias("second"), "id", "size", *(f"s{k}" for k in range(LANES)))
     laid = laid.repartition(max(width(spark), 12) * 4, *columns).sortWithinPartitions(*columns, "second")
@@ -224,9 +228,9 @@ def near_pairs(canonical: DataFrame, threshold: float = 0.7) -> DataFrame:
     copied = linked.where("n_a > 1 or n_b > 1").select("a", "b")
     # Members of units that have copies and a link.
     touched = copied.select(F.col("a").alias("unit")).union(copied.select(F.col("b"))).distinct()
-    named = sets.join(touched, "unit", "left_semi").select("unit", "key", F.xxhash64("words").alias("w"))
-    members = durable(lookup(canonical.select("ord", "key", "w"), named, ["key", "w"], "ord").select("unit", "ord"), "members")
-    first = lookup(members.withColumnRenamed("unit", "a"), copied, ["a"], "ord").select(F.col("ord").alias("x"), "b")
+    named = durable(sets.join(touched, "unit", "left_semi").select("unit", "key", F.xxhash64("words").alias("w"), "copies"), "named")
+    members = durable(lookup(canonical.select("ord", "key", "w"), named, ["key", "w"], "ord", rows="copies").select("unit", "ord", "copies"), "members")
+    first = durable(lookup(members.withColumnRenamed("unit", "a"), copied, ["a"], "ord").select(F.col("ord").alias("x"), "b"), "first")
     second = lookup(first, members.select(F.col("unit").alias("b"), F.col("ord").alias("y")), ["b"], "x").select("x", "y")
     return single.unionByName(second).select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"))
 
@@ -249,5 +253,5 @@ def near_groups(canonical: DataFrame, threshold: float = 0.7) -> DataFrame:
     ways = other.select(F.col("a").alias("unit"), F.col("n_b").alias("n")).unionByName(other.select(F.col("b").alias("unit"), F.col("n_a").alias("n")))
     links = ways.groupBy("unit").agg(F.sum("n").alias("n_links"))
     described = sets.join(keys, "key").join(group, "unit", "left").join(links, "unit", "left").where("group_id is not null or n_copies > 1")
-    described = described.select("key", F.xxhash64("words").alias("w"), F.coalesce("group_id", "unit").alias("group_ord"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies")
-    return lookup(canonical.select("ord", "key", "w"), described, ["key", "w"], "ord").select("ord", "group_ord", "n_links", "n_copies")
+    described = described.select("key", F.xxhash64("words").alias("w"), F.coalesce("group_id", "unit").alias("group_ord"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_copies", "copies")
+    return lookup(canonical.select("ord", "key", "w"), durable(described, "described"), ["key", "w"], "ord", rows="copies").select("ord", "group_ord", "n_links", "n_copies")
