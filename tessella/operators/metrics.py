@@ -24,7 +24,7 @@ from ..sources.readers import with_ord
 
 NO_LABEL = "nan"
 STEP = 1 << 20  # terms of an expectation summed at once
-NOTHING = 1e-15  # a difference of entropies that is none
+NOTHING = 1e-12  # a difference of entropies that is none
 MEASURES = ("rand", "adjusted_rand", "nmi", "ami", "fowlkes_mallows", "homogeneity", "completeness", "v_measure")
 
 
@@ -99,14 +99,14 @@ def measures(pairs: DataFrame) -> DataFrame:
     c = F.when(hk == 0, 1.0).otherwise(mi / hk)
     mean = (hc + hk) / 2
     alike = (hc == 0) & (hk == 0)  # one class on either side
-    above_chance = F.when(F.abs(mean - emi) < NOTHING, NOTHING).otherwise(mean - emi)
+    no_room = F.abs(mean - emi) < NOTHING  # chance agrees as much as anything can
     return whole.select(
         "model",
         "n_labels",
         F.when(t < 2, 1.0).otherwise((c00 + c11) / (t * t - t)).alias("rand"),
         F.when((c01 == 0) & (c10 == 0), 1.0).otherwise(2 * (c00 * c11 - c01 * c10) / ((c00 + c01) * (c01 + c11) + (c00 + c10) * (c10 + c11))).alias("adjusted_rand"),
         F.when(alike, 1.0).when(mean == 0, 0.0).otherwise(mi / mean).alias("nmi"),
-        F.when(alike, 1.0).otherwise((mi - emi) / above_chance).alias("ami"),
+        F.when(alike | no_room, 1.0).otherwise((mi - emi) / (mean - emi)).alias("ami"),
         F.when(t < 2, 1.0).when(c11 == 0, 0.0).otherwise(c11 / F.sqrt((aa - t) * (bb - t))).alias("fowlkes_mallows"),
         h.alias("homogeneity"),
         c.alias("completeness"),

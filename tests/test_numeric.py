@@ -151,6 +151,54 @@ def test_plan_and_kernel_agree(spark):
     assert ok and {r.ord: r.exemplar for r in by_plan.collect()} == dict(enumerate(to))
 
 
+def test_all_alike_by_plan_and_kernel(spark):
+    """Equal similarities: the preference decides, and both ways of clustering agree."""
+    edges = spark.createDataFrame([(i, k, -1.0) for i in range(5) for k in range(5)], "i bigint, k bigint, s double")
+    for p, want in ((-1.0, {i: 0 for i in range(5)}), (-0.5, {i: i for i in range(5)})):
+        assert {r.ord: r.exemplar for r in affinity.propagate(affinity.broken_ties(edges), p, 0.5).collect()} == want
+    assert {r.ord: r.exemplar for r in affinity.search(edges, 5).collect()} == {i: 0 for i in range(5)}
+    assert {r.ord: r.exemplar for r in affinity.search_by_plan(edges)[0].collect()} == {i: 0 for i in range(5)}
+
+
+def test_large_groups_go_by_plan(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "KERNEL", 8)
+    monkeypatch.setattr(affinity, "PATIENCE", 3)
+    x = _blobs(9)
+    s = -((x[:, None] - x[None]) ** 2).sum(-1)
+    data = [("big", int(i), int(k), float(s[i, k])) for i in range(9) for k in range(9)] + [("small", i, k, -1.0 * (i != k)) for i in (1, 2) for k in (1, 2)]
+    got = affinity.search_groups(spark.createDataFrame(data, "grp string, i bigint, k bigint, s double")).collect()
+    assert {r.ord for r in got if r.grp == "big"} == set(range(9)) and len({r.exemplar for r in got if r.grp == "big"}) == 3
+    assert len([r for r in got if r.grp == "small"]) == 2
+
+
+def test_similarities_within_groups(spark):
+    rng = np.random.default_rng(4)
+    v = {i: rng.normal(size=4).astype(np.float32) for i in range(40)}
+    members = [("g" if i % 3 else "h", i) for i in v] + [("h", 4)]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "ord bigint, embedding array<float>")
+    got = {(r.grp, r.i, r.k): r.s for r in similarity.within(spark.createDataFrame(members, "grp string, ord bigint"), vectors).collect()}
+    unit = {i: x / np.linalg.norm(x) for i, x in v.items()}
+    want = {(g, i, k): float(unit[i] @ unit[k]) - 1 for g, i in members for h, k in members if g == h}
+    assert got.keys() == want.keys() and all(got[e] == pytest.approx(want[e], abs=1e-6) for e in want)
+
+
+def test_next_words(spark):
+    prompts = spark.createDataFrame([(0, "b b c"), (1, ""), (2, "zzz")], "ord bigint, context string")
+    background = spark.createDataFrame([("a", 5), ("b", 2), ("c", 2), ("d", 1)], "w string, cf bigint")
+    got = {(r.ord, r["rank"]): (r.w, r.logp) for r in scoring.next_tokens(prompts, background, top_k=2).collect()}
+    assert got[0, 1] == ("b", pytest.approx(math.log(0.5 * 2 / 3 + 0.1))) and got[0, 2][0] == "c"
+    assert got[1, 1] == got[2, 1] == ("a", pytest.approx(math.log(0.25))) and got[1, 2][0] == "b"
+    own = spark.createDataFrame([("d",), ("c",), ("unknown",)], "w string")
+    assert [r.w for r in scoring.next_tokens(prompts, background, own).orderBy("ord").collect()] == ["c", "c", "c"]
+    assert scoring.next_tokens(prompts.limit(0), background).count() == 0
+
+
+def test_text_vectors_leave_the_context_out(spark):
+    df = spark.createDataFrame([(0, "x", "one two"), (1, "other words", "two one"), (2, "x", "")], "ord bigint, context string, text string")
+    got = {r.ord: r.embedding for r in scoring.encode(df, 16).collect()}
+    assert got[0] == got[1] and sum(map(abs, got[0])) == pytest.approx(1.0) and got[2] == [0.0] * 16
+
+
 def test_small_groups(spark):
     edges = spark.createDataFrame([("one", 4, 4, 0.0)] + [("two", i, k, -1.0 if i != k else 0.0) for i in (1, 2) for k in (1, 2)], "grp string, i bigint, k bigint, s double")
     got = rows(affinity.search_groups(edges).select("grp", "ord", "exemplar"))

@@ -167,6 +167,86 @@ def test_last_label_wins_and_masks(spark):
     assert free.orderBy("row_id").first()["KC (m2)"] == "y"
 
 
+def test_positions_follow_files_whatever_their_splits(spark, tmp_path):
+    """Two tables that run along each other meet row by row, though one is read in many splits and several files."""
+    from tessella.operators import evaluate
+
+    n = 3000
+    head = "Problem Hierarchy\tProblem Name\tStep Name\tKC (a)\n"
+    (tmp_path / "t.txt").write_text(head + "".join(f"h\tp\ts{i}\tk{i}\n" for i in range(n)))
+    (tmp_path / "u").mkdir()
+    pad = "x" * 200
+    for part, (lo, hi) in enumerate([(0, 700), (700, 710), (710, n)]):
+        (tmp_path / "u" / f"part-{part}.txt").write_text(f"Notes\tKC (Unique-step)\n" + "".join(f"{pad}\tu{i}\n" if i % 3 else f"{pad}\t \n" for i in range(lo, hi)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        t = evaluate.plain(readers.template(spark, str(tmp_path / "t.txt")))
+        assert t.rdd.getNumPartitions() > 1
+        u = evaluate.unique_steps(spark, str(tmp_path / "u"), t)
+        labels = spark.createDataFrame([(f"s{i}", f"new{i}") for i in range(n)], "step_name string, label string")
+        got = {r.row_id: (r.step_name, r["KC (m)"]) for r in kcmodel.fill_template(t, labels, u, "m").collect()}
+        assert got == {i: (f"s{i}", f"new{i}" if i % 3 else None) for i in range(n)}
+        log = readers.with_row_id(spark.read.text(str(tmp_path / "u")))
+        order = [r.value.split("\t")[1] for r in log.orderBy("row_id").collect() if "Notes" not in r.value]
+        assert order == [f"u{i}" if i % 3 else " " for i in range(n)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "short.txt").write_text("KC (Unique-step)\nu\n")
+    with pytest.raises(ValueError):
+        evaluate.unique_steps(spark, str(tmp_path / "short.txt"), t)
+
+
+def test_models_from_outside(spark, bank, tmp_path, monkeypatch):
+    """Scorer, labeler and embedder by name, from the command line."""
+    out = str(tmp_path / "run")
+    cli.concept(spark, bank, f"{out}/concept", verbal=True, q_embeds=True, labeler="models_for_tests:labeler", embedder="models_for_tests:embedder", batch_size=7, num_beams=3)
+    made = {r.ord: r.KC for r in spark.read.parquet(f"{out}/concept/bank-concept").collect()}
+    assert len(made) == 60 and set(made.values()) == {"can, with 3 beams"}
+    vectors = spark.read.parquet(f"{out}/concept/bank-question-embed").collect()
+    assert all(r.embedding[1] >= len("Exercise 2:\n") for r in vectors) and len(vectors) == 60
+    assert spark.read.csv(f"{out}/concept/bank-concept.csv", header=True, multiLine=True, escape='"').count() == 60
+    cli.pmi(spark, bank, f"{out}/pmi", scorer="models_for_tests:scorer", batch_size=50)
+    scores = spark.read.parquet(f"{out}/pmi/scores")
+    assert readers.holes(scores, 60).first().present == 3660 and scores.where("logp > 0").count() == 0
+    with pytest.raises(ValueError):
+        from tessella.operators import scoring
+
+        scoring.loaded("nothing")
+
+
+def test_evaluation_of_a_template_file(spark, tmp_path):
+    rows_ = "".join(f"h\tp\ts{i}\t{'ab'[i % 2]}\t{'xy'[i % 2]}\t{'q' if i else ' '}\n" for i in range(20))
+    (tmp_path / "t.txt").write_text("Problem Hierarchy\tProblem Name\tStep Name\tKC (true)\tKC (same)\tKC (one)\n" + rows_)
+    text = cli.evaluated(spark, kc_temp=str(tmp_path / "t.txt"), true_kc="true", random=True)
+    assert "same random" in text and "one" in text
+    with pytest.raises(ValueError):
+        cli.evaluated(spark, kc_temp=str(tmp_path / "t.txt"), true_kc="none")
+    with pytest.raises(ValueError):
+        cli.evaluated(spark)
+
+
+def test_refined_rows_that_keep_their_label(spark):
+    """The model of one label is not taken for that of another whose name ends alike."""
+    from tessella.operators import refine
+
+    t = spark.createDataFrame([(0, "s0", "a"), (1, "s1", "xa"), (2, "s2", "b")], "row_id bigint, step_name string, `KC (m)` string")
+    labels = spark.createDataFrame([("a", "s0", "new"), ("xa", "s1", "xa")], "kc_name string, step_name string, label string")
+    changed = refine.relabel(t, "KC (m)", labels, "cpt")
+    assert rows(refine.unchanged(changed, t, "KC (m)", "cpt")) == [(1, "cpt-xa", "xa")]
+    wide = refine.widen(t, "KC (m)", changed).orderBy("row_id").collect()
+    assert [(r["KC (cpt-a)"], r["KC (cpt-xa)"]) for r in wide] == [("new", "a"), ("xa", "xa"), ("b", "b")]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as Fake
+
+    from tessella.session import shared_dir
+
+    conf = Fake(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        shared_dir(Fake(conf=conf, sparkContext=Fake(getCheckpointDir=lambda: None, master="spark://host:7077")))
+
+
 def test_names():
     assert names.display_name("KC (a-1)") == "a" and names.true_name("KC (a (b)-1)") == "a (b)-1"
     assert names.display_name("KC (a (b))") == "a (b"
