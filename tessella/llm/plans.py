@@ -58,7 +58,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The five nearest of every question's vector, with their cosine."""
-    return knn.neighbours(table(spark, sf, "question_vecs")).select(knn.F.col("id").alias("ord"), knn.F.col("near").alias("near_ord"), "cos")
+    return knn.neighbours(table(spark, sf, "question_vecs")).select(knn.F.col("id").alias("ord"), knn.F.col("near").alias("near_ord"), knn.F.round("cos", 9).alias("cos"))
 
 
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,6 +85,11 @@ def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, sf, "documents")))
 
 
+def p8_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Where every token of a document starts in its UTF-8 bytes, and whether it ends inside a character."""
+    return tokens.offsets(table(spark, sf, "documents"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sources that cannot reach their target share."""
     return mixing.unreachable(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
@@ -106,7 +111,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.subjects(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "subject_list"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_groups, p4_found, p4_uniform, p5_found, p5_neighbours, p7_found, p7_typical, p8_ids, p8_roundtrip, p9_found, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_groups, p4_found, p4_uniform, p5_found, p5_neighbours, p7_found, p7_typical, p8_ids, p8_roundtrip, p8_offsets, p9_found, p9_mix, p9_shares, p10_found)}
 _NEAREST = """
 WITH v AS (SELECT ord, CAST(embedding AS DOUBLE[]) AS e FROM question_vecs WHERE embedding IS NOT NULL),
 n AS (SELECT ord, e, sqrt(list_inner_product(e, e)) AS m FROM v WHERE list_inner_product(e, e) > 0),
@@ -115,5 +120,6 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY c
 """
 SQL = {
     "p5_found": _NEAREST + "SELECT DISTINCT least(ord, near_ord) AS ord_a, greatest(ord, near_ord) AS ord_b FROM best",
+    "p5_neighbours": _NEAREST + "SELECT ord, near_ord, round(cos, 9) AS cos FROM best",
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
