@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +45,6 @@ def paths(form: dict, above: str = "") -> list[str]:
     return out
 
 
-LEAVES = paths(FORM)
-
-
 def slot(path: str) -> str:
     """The column that holds a leaf path."""
     return path.replace("[]", "s").replace(".", "_")
@@ -168,27 +165,33 @@ def levels(value, form: dict, out: dict, above: str = "", r: int = 0, d: int = 0
                     levels(element, below, out, path + ".", at, d + 2, depth + 1)
 
 
-def shred(raw: DataFrame, key: str = "raw_id", payload: str = "payload") -> DataFrame:
-    """One row per readable record: ``key`` and, of each leaf path, its levels and values."""
+def shred(raw: DataFrame, key: str = "raw_id", payload: str = "payload", form: dict | None = None, read: Callable[[str | None], dict | None] | None = None) -> DataFrame:
+    """One row per readable record: ``key`` and, of each leaf path, its levels and values.
+
+    ``read`` makes a record of the nested ``form`` of a payload, or None; by
+    default the form and the reader of questions.
+    """
+    form, read = FORM if form is None else form, read or read_record
+    leaves = paths(form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("r", pa.list_(pa.int8())), ("d", pa.list_(pa.int8())), ("v", pa.list_(pa.string()))])
         for batch in batches:
-            ids, cols = [], {p: [] for p in LEAVES}
+            ids, cols = [], {p: [] for p in leaves}
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                record = read_record(text)
+                record = read(text)
                 if record is None:
                     continue
-                out = {p: [] for p in LEAVES}
-                levels(record, FORM, out)
+                out = {p: [] for p in leaves}
+                levels(record, form, out)
                 ids.append(rid)
                 for p, seq in out.items():
                     r, d, v = zip(*seq)
                     cols[p].append({"r": r, "d": d, "v": [None if x is None else x.encode("utf8", "replace").decode() for x in v]})
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array(cols[p], kind) for p in LEAVES)], names=[key, *map(slot, LEAVES)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array(cols[p], kind) for p in leaves)], names=[key, *map(slot, leaves)])
 
     kind = dict(raw.dtypes)[key]
-    schema = f"`{key}` {kind}, " + ", ".join(f"{slot(p)} {LEVELS}" for p in LEAVES)
+    schema = f"`{key}` {kind}, " + ", ".join(f"{slot(p)} {LEVELS}" for p in leaves)
     return raw.where(F.col(payload).isNotNull()).select(key, payload).mapInArrow(run, schema)
 
 
@@ -206,7 +209,7 @@ def ordinals(r: np.ndarray, depth: int) -> list[np.ndarray]:
     return out
 
 
-def flat(shredded: DataFrame, ancestor: str, key: str = "raw_id") -> DataFrame:
+def flat(shredded: DataFrame, ancestor: str, key: str = "raw_id", form: dict | None = None) -> DataFrame:
     """The table of a repeated ancestor (``""`` for the records themselves).
 
     Columns: ``key``, a position ``n1..nk`` for each repetition on the way and
@@ -214,7 +217,7 @@ def flat(shredded: DataFrame, ancestor: str, key: str = "raw_id") -> DataFrame:
     row, yet count in the positions.
     """
     steps = [s for s in ancestor.split(".") if s]
-    below, form = ancestor + "." if ancestor else "", FORM
+    below, form = ancestor + "." if ancestor else "", FORM if form is None else form
     for s in steps:
         form = form[s]
     leaf = form is None

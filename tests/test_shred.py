@@ -59,3 +59,20 @@ def test_levels_rebuild_every_table(spark):
 def test_repeated_delivery_counts_twice(spark):
     p = '{"question": {"choices": {"a": "x"}}, "answerKey": "a"}'
     assert found(spark, p, p) == [(0, 0, 1, 1), (1, 0, 1, 1)]
+
+
+def test_any_form(spark):
+    """A form of one's own, three repetitions deep, comes back as tables."""
+    import json
+
+    from tessella.operators import shred as H
+
+    form = {"name": None, "a[]": {"x": None, "b[]": {"y": None, "c[]": None}}}
+    record = {"name": "n", "a[]": [{"x": "1", "b[]": [{"y": "p", "c[]": ["u", None, "v"]}, None, {"y": None, "c[]": []}]}, {"x": None, "b[]": []}]}
+    raw = spark.createDataFrame([(7, json.dumps(record)), (8, None), (9, json.dumps({"name": None, "a[]": []}))], "raw_id bigint, payload string")
+    made = H.shred(raw, form=form, read=json.loads)
+    table = lambda at: sorted((tuple(r) for r in H.flat(made, at, form=form).collect()), key=repr)
+    assert table("") == [(7, "n"), (9, None)]
+    assert table("a[]") == [(7, 1, "1"), (7, 2, None)]
+    assert table("a[].b[]") == [(7, 1, 1, "p"), (7, 1, 3, None)]
+    assert [r for r in table("a[].b[].c[]") if r[4] is not None] == [(7, 1, 1, 1, "u"), (7, 1, 1, 3, "v")]
