@@ -45,3 +45,8 @@ def run(spark, bank, name):
 def test_sim_euclidean(spark, bank):
     moves, _, _ = run(spark, bank, "sim_euclidean")
     assert moves < VECTORS
+
+
+def test_sim_cosine(spark, bank):
+    moves, _, _ = run(spark, bank, "sim_cosine")
+    assert moves < VECTORS
