@@ -50,3 +50,8 @@ def test_sim_euclidean(spark, bank):
 def test_sim_cosine(spark, bank):
     moves, _, _ = run(spark, bank, "sim_cosine")
     assert moves < VECTORS
+
+
+def test_exemplar_assign(spark, bank):
+    moves, _, _ = run(spark, bank, "exemplar_assign")
+    assert moves < 2
