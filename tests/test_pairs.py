@@ -55,3 +55,8 @@ def test_sim_cosine(spark, bank):
 def test_exemplar_assign(spark, bank):
     moves, _, _ = run(spark, bank, "exemplar_assign")
     assert moves < 2
+
+
+def test_lm_logprob(spark, bank):
+    moves, _, _ = run(spark, bank, "lm_logprob")
+    assert moves < 137
