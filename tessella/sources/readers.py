@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import names
@@ -147,14 +149,41 @@ def log_probs(spark: SparkSession, path: str, n: int, cond_on_dim: int = 0) -> D
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``c, lo, hi, rows, bad`` of ``c, ord, finite``: rows of one ``c`` whose ``ord`` follow each other, as one row."""
+    for batch in batches:
+        c, finite = batch.column("c").to_numpy(zero_copy_only=False), batch.column("finite").to_numpy(zero_copy_only=False)
+        known = ~np.asarray(batch.column("ord").is_null())
+        o = batch.column("ord").fill_null(-1).to_numpy(zero_copy_only=False)
+        if not len(c):
+            continue
+        new = np.ones(len(c), bool)
+        new[1:] = (c[1:] != c[:-1]) | (o[1:] != o[:-1] + 1) | ~known[1:] | ~known[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(c)))
+        lo = pa.array(o[start], mask=~known[start])
+        hi = pa.array(o[start] + size - 1, mask=~known[start])
+        yield pa.RecordBatch.from_arrays([pa.array(c[start]), lo, hi, pa.array(size.astype(np.int64)), pa.array(np.add.reduceat((~finite).astype(np.int64), start))], names=["c", "lo", "hi", "rows", "bad"])
+
+
 def holes(scores: DataFrame, n: int) -> DataFrame:
-    """One row: pairs expected, distinct pairs there, rows, and scores that are not finite."""
+    """One row: pairs expected, distinct pairs there, rows, and scores that are not finite.
+
+    Pairs are shuffled as runs of ``ord`` that follow each other under one
+    condition, as a scorer's cells and its files have them; in another order
+    runs are short, and the count is the same.
+    """
     finite = F.col("logp").isNotNull() & ~F.isnan("logp") & (F.abs("logp") != F.lit(float("inf")))
-    return scores.agg(
+    rows = scores.select(F.coalesce("cond_ord", F.lit(-1)).cast("bigint").alias("c"), F.col("ord").cast("bigint").alias("ord"), finite.alias("finite"))
+    runs = rows.mapInArrow(_runs, "c bigint, lo bigint, hi bigint, rows bigint, bad bigint")
+    met = F.max("hi").over(Window.partitionBy("c").orderBy(F.asc_nulls_first("lo"), "hi").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("lo").isNull(), F.when(F.col("first"), 1).otherwise(0)).otherwise(F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("lo") - 1, F.coalesce("met", F.col("lo") - 1))))
+    first = F.row_number().over(Window.partitionBy("c").orderBy(F.asc_nulls_first("lo"), "hi")) == 1
+    return runs.withColumn("met", met).withColumn("first", first).agg(
         F.lit(n * n + n).cast("bigint").alias("expected"),
-        F.count_distinct(F.struct(F.coalesce("cond_ord", F.lit(-1)), "ord")).alias("present"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(~finite).alias("not_finite"),
+        F.coalesce(F.sum(fresh), F.lit(0)).cast("bigint").alias("present"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("not_finite"),
     )
 
 

@@ -60,3 +60,18 @@ def test_exemplar_assign(spark, bank):
 def test_lm_logprob(spark, bank):
     moves, _, _ = run(spark, bank, "lm_logprob")
     assert moves < 137
+
+
+def test_lm_holes(spark, bank):
+    moves, _, _ = run(spark, bank, "lm_holes")
+    assert moves < TEXTS
+
+
+def test_runs_count_what_distinct_pairs_do(spark):
+    """Repeats, gaps, other orders, missing and infinite values."""
+    from tessella.sources.readers import holes
+
+    rows = [(None, 0, 1.0), (None, 1, 1.0), (0, 1, 1.0), (0, 0, 1.0), (0, 1, 2.0), (1, 0, None), (1, 3, float("inf")), (1, None, 1.0), (1, None, float("nan")), (2, 5, 1.0), (2, 6, 1.0), (2, 5, 1.0), (2, 6, 1.0), (2, 7, 1.0)]
+    df = spark.createDataFrame(rows, "cond_ord bigint, ord bigint, logp double")
+    assert tuple(holes(df.repartition(3), 2).first()) == (6, len({(c, o) for c, o, _ in rows}), 14, 3)
+    assert tuple(holes(df.limit(0), 2).first()) == (6, 0, 0, 0)
