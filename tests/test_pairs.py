@@ -75,3 +75,8 @@ def test_runs_count_what_distinct_pairs_do(spark):
     df = spark.createDataFrame(rows, "cond_ord bigint, ord bigint, logp double")
     assert tuple(holes(df.repartition(3), 2).first()) == (6, len({(c, o) for c, o, _ in rows}), 14, 3)
     assert tuple(holes(df.limit(0), 2).first()) == (6, 0, 0, 0)
+
+
+def test_pmi_raw(spark, bank):
+    moves, _, _ = run(spark, bank, "pmi_raw")
+    assert moves < TEXTS
