@@ -95,3 +95,8 @@ def test_pmi_conditionals(spark, bank):
 def test_pmi_subset(spark, bank):
     moves, _, _ = run(spark, bank, "pmi_subset")
     assert moves < TEXTS
+
+
+def test_refine_pmi(spark, bank):
+    moves, _, _ = run(spark, bank, "refine_pmi")
+    assert moves < 2 * TEXTS
