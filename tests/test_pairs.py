@@ -100,3 +100,8 @@ def test_pmi_subset(spark, bank):
 def test_refine_pmi(spark, bank):
     moves, _, _ = run(spark, bank, "refine_pmi")
     assert moves < 2 * TEXTS
+
+
+def test_refine_unchanged(spark, bank):
+    moves, _, _ = run(spark, bank, "refine_unchanged")
+    assert moves < 4 * TEXTS
