@@ -105,3 +105,26 @@ def test_refine_pmi(spark, bank):
 def test_refine_unchanged(spark, bank):
     moves, _, _ = run(spark, bank, "refine_unchanged")
     assert moves < 4 * TEXTS
+
+
+def test_preferences(spark, bank):
+    moves, _, _ = run(spark, bank, "preferences")
+    assert moves < VECTORS
+
+
+def test_spread_against_sorted_values(spark, monkeypatch):
+    """Medians of an even and an odd number, ties, blocks and bins cut smaller."""
+    import numpy as np
+
+    from tessella.operators import pairs, similarity
+
+    rng = np.random.default_rng(5)
+    for n, few in ((9, 1 << 19), (61, 40), (2, 3), (40, 1)):
+        monkeypatch.setattr(similarity, "FEW", few)
+        x = rng.normal(size=(n, 8)).astype(np.float32)
+        x[n // 2 :] = x[: n - n // 2] if n > 50 else x[n // 2 :]
+        got = similarity.spread(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord bigint, embedding array<float>"))
+        y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        s = np.clip(y @ y.T, -1, 1)[~np.eye(n, dtype=bool)] - 1
+        assert got == pytest.approx({"median": np.median(s), "mean": s.mean(), "min": s.min(), "max": s.max()}, abs=1e-12)
+    assert set(similarity.spread(spark.createDataFrame([(0, [1.0, 0.0])], "ord bigint, embedding array<float>")).values()) == {None}
