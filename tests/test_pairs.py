@@ -128,3 +128,21 @@ def test_spread_against_sorted_values(spark, monkeypatch):
         s = np.clip(y @ y.T, -1, 1)[~np.eye(n, dtype=bool)] - 1
         assert got == pytest.approx({"median": np.median(s), "mean": s.mean(), "min": s.min(), "max": s.max()}, abs=1e-12)
     assert set(similarity.spread(spark.createDataFrame([(0, [1.0, 0.0])], "ord bigint, embedding array<float>")).values()) == {None}
+
+
+def test_ap_step(spark, bank):
+    moves, _, _ = run(spark, bank, "ap_step")
+    assert moves < VECTORS
+
+
+def test_first_step_is_a_step_from_no_messages(spark):
+    import random
+
+    from tessella.operators import affinity, similarity
+
+    rng = random.Random(2)
+    for n in (1, 2, 12):
+        v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(n)], "ord bigint, embedding array<float>")
+        want = affinity.step(affinity.start(affinity.with_preference(similarity.similarity(v, n), -1.0)), 0.5).collect()
+        got = affinity.first_step(v, -1.0, 0.5).collect()
+        assert sorted((r.i, r.k, round(r.r, 9), round(r.a, 9)) for r in got) == sorted((r.i, r.k, round(r.r, 9), round(r.a, 9)) for r in want)
