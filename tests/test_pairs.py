@@ -146,3 +146,10 @@ def test_first_step_is_a_step_from_no_messages(spark):
         want = affinity.step(affinity.start(affinity.with_preference(similarity.similarity(v, n), -1.0)), 0.5).collect()
         got = affinity.first_step(v, -1.0, 0.5).collect()
         assert sorted((r.i, r.k, round(r.r, 9), round(r.a, 9)) for r in got) == sorted((r.i, r.k, round(r.r, 9), round(r.a, 9)) for r in want)
+
+
+def test_pair_prompts_broadcasts_nothing(spark, bank):
+    from __spark_entry__ import queries
+
+    plan = queries()["pair_prompts"](spark, bank[0])._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
