@@ -153,3 +153,9 @@ def test_pair_prompts_broadcasts_nothing(spark, bank):
 
     plan = queries()["pair_prompts"](spark, bank[0])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
+def test_file_log_probs(spark, bank):
+    """The scores are what it is about: they are written once, and met by broadcast marginals."""
+    moves, _, n = run(spark, bank, "file_log_probs")
+    assert moves < n + TEXTS
