@@ -142,16 +142,22 @@ def matrix(a: dict, b: dict, mix: float = MIX) -> np.ndarray:
     return out
 
 
-def query_likelihood(texts: DataFrame, n: int, mix: float = MIX, digits: int | None = None) -> DataFrame:
-    """``cond_ord, ord, logp`` of all n marginals and n x n ordered pairs of ``ord, text``; ``digits`` rounds."""
-    rows = profiles(texts, mix)
+def query_likelihood(texts: DataFrame, n: int, mix: float = MIX, digits: int | None = None, then: tuple[Callable[[Iterator], Iterator], str] | None = None) -> DataFrame:
+    """``cond_ord, ord, logp`` of all n marginals and n x n ordered pairs of ``ord, text``; ``digits`` rounds.
+
+    ``then`` is what is made of the batches of these rows where they arise, and
+    the form of that; so pairs that are only summed up never leave their cell.
+    """
+    rows, form = profiles(texts, mix), "cond_ord bigint, ord bigint, logp double"
 
     def kernel(a: dict, b: dict):
-        yield from pairs.rows_of(["cond_ord", "ord", "logp"], a["ord"], b["ord"], matrix(a, b, mix), digits=(digits,))
+        batches = pairs.rows_of(["cond_ord", "ord", "logp"], a["ord"], b["ord"], matrix(a, b, mix), digits=(digits,))
+        yield from then[0](batches) if then else batches
 
-    both = pairs.in_cells(rows, opening, kernel, "cond_ord bigint, ord bigint, logp double")
+    both = pairs.in_cells(rows, opening, kernel, then[1] if then else form)
     own = F.col("logp") if digits is None else F.round("logp", digits)
-    return rows.select(F.lit(None).cast("bigint").alias("cond_ord"), "ord", own.alias("logp")).unionByName(both)
+    alone = rows.select(F.lit(None).cast("bigint").alias("cond_ord"), "ord", own.alias("logp"))
+    return (alone.mapInArrow(*then) if then else alone).unionByName(both)
 
 
 def key_phrase(texts: DataFrame, verbal: bool = False) -> DataFrame:

@@ -149,11 +149,15 @@ def log_probs(spark: SparkSession, path: str, n: int, cond_on_dim: int = 0) -> D
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``c, lo, hi, rows, bad`` of ``c, ord, finite``: rows of one ``c`` whose ``ord`` follow each other, as one row."""
+RUNS = "c bigint, lo bigint, hi bigint, rows bigint, bad bigint"
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``RUNS`` of ``cond_ord, ord, logp``: rows of one condition (-1: marginal) whose ``ord`` follow each other, as one row."""
     for batch in batches:
-        c, finite = batch.column("c").to_numpy(zero_copy_only=False), batch.column("finite").to_numpy(zero_copy_only=False)
-        known = ~np.asarray(batch.column("ord").is_null())
+        c = batch.column("cond_ord").fill_null(-1).to_numpy(zero_copy_only=False)
+        finite = np.isfinite(batch.column("logp").fill_null(float("nan")).to_numpy(zero_copy_only=False))
+        known = ~batch.column("ord").is_null().to_numpy(zero_copy_only=False)
         o = batch.column("ord").fill_null(-1).to_numpy(zero_copy_only=False)
         if not len(c):
             continue
@@ -173,13 +177,16 @@ def holes(scores: DataFrame, n: int) -> DataFrame:
     condition, as a scorer's cells and its files have them; in another order
     runs are short, and the count is the same.
     """
-    finite = F.col("logp").isNotNull() & ~F.isnan("logp") & (F.abs("logp") != F.lit(float("inf")))
-    rows = scores.select(F.coalesce("cond_ord", F.lit(-1)).cast("bigint").alias("c"), F.col("ord").cast("bigint").alias("ord"), finite.alias("finite"))
-    runs = rows.mapInArrow(_runs, "c bigint, lo bigint, hi bigint, rows bigint, bad bigint")
-    met = F.max("hi").over(Window.partitionBy("c").orderBy(F.asc_nulls_first("lo"), "hi").rowsBetween(Window.unboundedPreceding, -1))
+    rows = scores.select(F.col("cond_ord").cast("bigint").alias("cond_ord"), F.col("ord").cast("bigint").alias("ord"), F.col("logp").cast("double").alias("logp"))
+    return holes_of(rows.mapInArrow(runs, RUNS), n)
+
+
+def holes_of(found: DataFrame, n: int) -> DataFrame:
+    """The same of runs."""
+    order = Window.partitionBy("c").orderBy(F.asc_nulls_first("lo"), "hi")
+    met, first = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.row_number().over(order) == 1
     fresh = F.when(F.col("lo").isNull(), F.when(F.col("first"), 1).otherwise(0)).otherwise(F.greatest(F.lit(0), F.col("hi") - F.greatest(F.col("lo") - 1, F.coalesce("met", F.col("lo") - 1))))
-    first = F.row_number().over(Window.partitionBy("c").orderBy(F.asc_nulls_first("lo"), "hi")) == 1
-    return runs.withColumn("met", met).withColumn("first", first).agg(
+    return found.withColumn("met", met).withColumn("first", first).agg(
         F.lit(n * n + n).cast("bigint").alias("expected"),
         F.coalesce(F.sum(fresh), F.lit(0)).cast("bigint").alias("present"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"),
