@@ -34,7 +34,7 @@ from . import pairs
 
 MIX = 0.5
 #: A word goes into the matrix product if more than this share of a cell's pairs have it.
-DENSE = 0.02
+DENSE = 0.001
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -134,10 +134,15 @@ def matrix(a: dict, b: dict, mix: float = MIX) -> np.ndarray:
             return m
 
         out += dense(a, at[common], "gain") @ dense(b, bt[common], "tf").T
-    flat, width = out.ravel(), len(b["ord"])
-    for x, y in zip(at[~common], bt[~common]):
-        p, q_ = slice(a["start"][x], a["start"][x + 1]), slice(b["start"][y], b["start"][y + 1])
-        flat[a["row"][p, None] * width + b["row"][q_]] += a["gain"][p, None] * b["tf"][q_]
+    flat, rare = out.ravel(), np.flatnonzero(~common)
+    part = np.cumsum(pairs_of[rare]) // pairs.SLICE  # about so many pairs at a time
+    for some in np.split(rare, np.flatnonzero(np.diff(part)) + 1):
+        count = pairs_of[some]
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # of a pair among those of its word
+        x, y = np.divmod(place, np.repeat(np.diff(b["start"])[bt[some]], count))
+        x += np.repeat(a["start"][at[some]], count)
+        y += np.repeat(b["start"][bt[some]], count)
+        np.add.at(flat, a["row"][x] * len(b["ord"]) + b["row"][y], a["gain"][x] * b["tf"][y])
     out += b["logp"] + b["len"] * np.log(1 - mix)
     return out
 
