@@ -159,3 +159,53 @@ def test_file_log_probs(spark, bank):
     """The scores are what it is about: they are written once, and met by broadcast marginals."""
     moves, _, n = run(spark, bank, "file_log_probs")
     assert moves < n + TEXTS
+
+
+def test_ap_cluster(spark, bank, monkeypatch):
+    """No pair is stored before the rounds, nor by one: 600 a question before."""
+    from tessella.operators import affinity
+
+    monkeypatch.setattr(affinity, "KERNEL", 100)
+    monkeypatch.setattr(affinity, "dampings", list)
+    moves, _, n = run(spark, bank, "ap_cluster")
+    assert moves < 2 * VECTORS
+    before = moved(spark)
+    assert affinity.replay(spark.read.parquet(f"{bank[0]}/question_vecs.parquet").where("embedding is not null"), -1.0, 0.5, max_iterations=2) is None
+    assert (moved(spark) - before) / n < 6 * VECTORS
+
+
+def test_replayed_clusters_are_the_kernels(spark, monkeypatch):
+    """Blocks and tiles cut smaller, two equal vectors, scattered numbers; a damping that fails; all alike; one point."""
+    import numpy as np
+
+    from tessella.operators import affinity, pairs, similarity
+
+    monkeypatch.setattr(affinity, "KERNEL", 0)
+    monkeypatch.setattr(affinity, "TILE", (5, 7))
+    monkeypatch.setattr(pairs, "PACK", 40)
+    n, rng = 41, np.random.default_rng(41)
+    x = rng.normal(size=(5, 6))[rng.integers(0, 5, n)] + 0.3 * rng.normal(size=(n, 6))
+    x[7] = x[3]
+    ords = np.sort(rng.choice(3 * n, n, replace=False)).tolist()
+    v = spark.createDataFrame([(o, r.tolist()) for o, r in zip(ords, x)], "ord bigint, embedding array<double>")
+    points, s = affinity.matrix(affinity.broken_ties(similarity.similarity(v, n)).toPandas())
+    p = float(np.median(s[~np.eye(n, dtype=bool)]))
+    assert similarity.spread(v, affinity.moved)["median"] == pytest.approx(p, abs=1e-15)
+    np.fill_diagonal(s, p)
+    ex, to, ok, rounds = affinity.run_kernel(s, 0.5, patience=3)
+    got = affinity.replay(v, p, 0.5, max_iterations=rounds, patience=3).collect()
+    assert ok and len(ex) > 1 and {r.ord: r.exemplar for r in got} == dict(zip(points.tolist(), points[to].tolist()))
+    assert affinity.replay(v, p, 0.5, max_iterations=2, patience=3) is None
+    alike = spark.createDataFrame([(i, [1.0, 2.0]) for i in (4, 2, 9)], "ord bigint, embedding array<double>")
+    assert {r.exemplar for r in affinity.search_vectors(alike, 3).collect()} == {2}
+    assert affinity.search_vectors(alike.where("ord = 4"), 1).collect() == [(4, 4)]
+
+
+def test_moved_as_ties_are_broken(spark):
+    import numpy as np
+
+    from tessella.operators import affinity
+
+    i, k = np.array([0, 5, 10**12, -3]), np.array([7, 0])
+    want = spark.createDataFrame([(int(x), int(y)) for x in i for y in k], "i bigint, k bigint").selectExpr("xxhash64(i, k) as h").collect()
+    assert affinity.hashed(i[:, None], k[None, :]).astype(np.int64).ravel().tolist() == [r.h for r in want]
