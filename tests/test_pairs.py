@@ -107,6 +107,16 @@ def test_refine_unchanged(spark, bank):
     assert moves < 4 * TEXTS
 
 
+def test_refine_unchanged_counts_words_once(spark, bank, monkeypatch):
+    """For the scores and the concepts of all three ways; four times before."""
+    from tessella.operators import scoring
+
+    seen, one = [], scoring.counts
+    monkeypatch.setattr(scoring, "counts", lambda texts: seen.append(1) or one(texts))
+    moves, _, _ = run(spark, bank, "refine_unchanged")
+    assert len(seen) == 1 and moves < 1.5 * TEXTS, moves
+
+
 def test_preferences(spark, bank):
     moves, _, _ = run(spark, bank, "preferences")
     assert moves < VECTORS
