@@ -165,6 +165,20 @@ def test_pair_prompts_broadcasts_nothing(spark, bank):
     assert "CartesianProduct" in plan and "Broadcast" not in plan
 
 
+def test_pair_prompts_puts_a_prompt_together_once(spark, bank):
+    """For its digest; the length comes of both sides. Texts longer in bytes than in characters, empty and missing ones."""
+    from __spark_entry__ import queries
+    from tessella.operators import scoring
+
+    plan = queries()["pair_prompts"](spark, bank[0])._jdf.queryExecution().optimizedPlan().toString()
+    pair = plan[: plan.index("Join Cross")].split("Project [cond_ord")[1]
+    assert pair.count("concat(") == 1 and "length(" not in pair, pair
+    rows = [(0, "Short Answer", "\u00e4\U0001f600?", ""), (1, None, None, None), (2, "", "x\n", "\u00df")]
+    q = spark.createDataFrame([(o, t, (s, []), a) for o, t, s, a in rows], "ord bigint, q_type string, question struct<stem: string, choices: array<struct<label: string, text: string>>>, answer_key string")
+    got = scoring.prompts(q, 3).collect()
+    assert len(got) == 12 and all(r.context_len == len(r.context) for r in got)
+
+
 def test_file_log_probs(spark, bank):
     """The scores are what it is about: they are written once, and met by broadcast marginals."""
     moves, _, n = run(spark, bank, "file_log_probs")
