@@ -233,3 +233,61 @@ def test_moved_as_ties_are_broken(spark):
     i, k = np.array([0, 5, 10**12, -3]), np.array([7, 0])
     want = spark.createDataFrame([(int(x), int(y)) for x in i for y in k], "i bigint, k bigint").selectExpr("xxhash64(i, k) as h").collect()
     assert affinity.hashed(i[:, None], k[None, :]).astype(np.int64).ravel().tolist() == [r.h for r in want]
+
+
+def test_kc_discover(spark, bank, monkeypatch):
+    """No pair is stored before the rounds, nor by one; n x n edges before."""
+    from tessella.operators import affinity, congruity
+    from tessella.plans import reference
+
+    monkeypatch.setattr(affinity, "KERNEL", 100)
+    monkeypatch.setattr(affinity, "dampings", list)
+    moves, _, n = run(spark, bank, "kc_discover")
+    assert moves < 2 * TEXTS, moves
+    rows = reference._normalized(spark, bank[0])
+    before = moved(spark)
+    assert affinity.replay(rows, -1.0, 0.5, max_iterations=2, measure=congruity.MUTUAL) is None
+    assert (moved(spark) - before) / n < 6 * VECTORS
+
+
+def test_clusters_by_mutual_information_are_the_kernels(spark, monkeypatch):
+    """Replayed in small blocks, and as a group within a task; a text without words, two equal ones, one point."""
+    import numpy as np
+
+    from tessella.operators import affinity, congruity, pairs, scoring, similarity
+
+    monkeypatch.setattr(affinity, "TILE", (5, 7))
+    monkeypatch.setattr(pairs, "PACK", 50)
+    rng = np.random.default_rng(3)
+    topics = [[f"t{t}w{j}" for j in range(8)] for t in range(4)]
+    texts = [(3 * i, " ".join(rng.choice(topics[rng.integers(0, 4)], 9)) + f" own{i}") for i in range(31)]
+    texts[5], texts[9] = (texts[5][0], "..."), (texts[9][0], texts[8][1])
+    rows = congruity.normalized(scoring.profiles(spark.createDataFrame(texts, "ord bigint, text string")))
+    points, s = affinity.matrix(affinity.broken_ties(congruity.native_symmetric(rows)).toPandas())
+    off = s[~np.eye(len(s), dtype=bool)]
+    values = similarity.spread(rows, affinity.partial(affinity.moved, measure=congruity.MUTUAL), congruity.MUTUAL)
+    assert values == pytest.approx({"median": np.median(off), "mean": off.mean(), "min": off.min(), "max": off.max()}, abs=1e-9)
+    np.fill_diagonal(s, np.median(off))
+    ex, to, ok, rounds = affinity.run_kernel(s, 0.5)
+    want = dict(zip(points.tolist(), points[to].tolist()))
+    assert ok and 1 < len(ex) < len(s)
+    members = rows.selectExpr("'all' as grp", "ord").unionByName(rows.where("ord = 6").selectExpr("'one' as grp", "ord"))
+    found = {(r.grp, r.ord): r.exemplar for r in affinity.search_members(members, rows, congruity.MUTUAL).collect()}
+    assert found == {("all", o): e for o, e in want.items()} | {("one", 6): 6}
+    got = affinity.replay(rows, values["median"], 0.5, max_iterations=3, patience=1, measure=congruity.MUTUAL)
+    _, to, ok, _ = affinity.run_kernel(s, 0.5, max_iterations=3, patience=1)
+    assert ok == (got is not None) and (not ok or {r.ord: r.exemplar for r in got.collect()} == dict(zip(points.tolist(), points[to].tolist())))
+
+
+def test_refine_stores_no_pair_of_a_label(spark, bank, monkeypatch):
+    """Labels of any size; the edges within a label were stored before."""
+    from tessella.operators import affinity, refine, similarity
+
+    members = spark.read.parquet(f"{bank[0]}/question_vecs.parquet").where("embedding is not null").selectExpr("'a' as kc_name", "ord")
+    vectors = spark.read.parquet(f"{bank[0]}/question_vecs.parquet").where("embedding is not null")
+    monkeypatch.setattr(affinity, "dampings", list)
+    for kernel in (3000, 100):
+        monkeypatch.setattr(affinity, "KERNEL", kernel)
+        before = moved(spark)
+        assert refine.recluster_vectors(members, vectors).count() == 0
+        assert (moved(spark) - before) / bank[1] < 3 * VECTORS
