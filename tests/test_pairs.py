@@ -291,3 +291,40 @@ def test_refine_stores_no_pair_of_a_label(spark, bank, monkeypatch):
         before = moved(spark)
         assert refine.recluster_vectors(members, vectors).count() == 0
         assert (moved(spark) - before) / bank[1] < 3 * VECTORS
+
+
+def test_words_are_counted_where_they_are_read(spark, bank, monkeypatch):
+    """A text is a row with its words as lists until it is packed; 130 rows a question were shuffled and stored before. Packed in place or not."""
+    from tessella.operators import pairs
+
+    for name in ("pmi_raw", "lm_logprob", "sim_cosine"):
+        moves, rows, n = run(spark, bank, name)
+        assert moves < 10, (name, moves)
+        monkeypatch.setattr(pairs, "MANY", 0)
+        monkeypatch.setattr(pairs, "PACK", 70)
+        moves, again, _ = run(spark, bank, name)
+        monkeypatch.undo()
+        assert again == rows and moves < 10, (name, moves)
+
+
+def test_counts_of_odd_texts(spark, monkeypatch):
+    """No text, none with words, one word many times, words in runs cut by batches; broadcast or not."""
+    from collections import Counter
+    from math import log
+
+    from tessella.operators import scoring
+
+    texts = [(4, None), (0, "?!"), (1, "Ab ab b"), (7, " ".join(["b", "é"] * 40) + " " + " ".join(f"w{i}" for i in range(60))), (3, "")]
+    df = spark.createDataFrame(texts, "ord bigint, text string").coalesce(1)
+    bags = {o: Counter(t.lower().split()) if o in (1, 7) else Counter() for o, t in texts}
+    cf, df_ = sum(bags.values(), Counter()), Counter(w for b in bags.values() for w in b)
+    want = sorted((o, w, n, b.total(), cf[w], df_[w], cf.total()) for o, b in bags.items() for w, n in b.items())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for known in (scoring.broadcast_if_small, lambda small, _: small):
+            monkeypatch.setattr(scoring, "broadcast_if_small", known)
+            assert sorted((r.ord, r.w, r.tf, r.len, r.cf, r.df, r.total) for r in scoring.counts(df).collect()) == want
+            found = {r.ord: (round(r.logp, 9), r.len, sorted(r.tf or [])) for r in scoring.profiles(df).collect()}
+            assert found == {o: (round(sum(n * log(cf[w] / cf.total()) for w, n in b.items()), 9), b.total(), sorted(b.values())) for o, b in bags.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
